@@ -1 +1,8 @@
 """Code-corpus analytics as Spark DataFrame transformations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
