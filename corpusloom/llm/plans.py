@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leakage, tokens
+from corpusloom.llm import leakage, spam, tokens
 from corpusloom.sources.tables import table
 
 
@@ -18,5 +18,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are mostly keywords, links or product tags."""
+    return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
