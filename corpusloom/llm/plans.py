@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leakage, spam, tokens
+from corpusloom.llm import leakage, spam, syntax, tokens
 from corpusloom.sources.tables import table
 
 
@@ -23,5 +23,16 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Source files that do not parse."""
+    return syntax.invalid_files(table(spark, folder, "files")).select("file_id")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that do not parse by repository and language."""
+    files = table(spark, folder, "files")
+    return syntax.invalid_rates(files, syntax.invalid_files(files))
+
+
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}

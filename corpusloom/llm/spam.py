@@ -36,6 +36,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[{}();=]|\w\.\w|\w/|[|`]--|==|\w_\w|^\s*\w+://", re.M)
 _VERSION = re.compile(r"\b[vV]?\d+\.\d+(?:\.\d+)*\b")
 _TIME = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
+# Function words that prose cannot do without.
+_FUNCTION = frozenset("the a of and to in is that it as by for on with any der die das und ist nicht zu von el los las de que y en le les des et est un une".split())
 _PRICE = re.compile(r"\d+[.,]\d\d\s*(?:[A-Z]{3}\b|[$€£])|[$€£]\s*\d")
 
 
@@ -75,6 +77,8 @@ def block_features(block: str) -> tuple[float, float, float, int]:
         return 0.0, 0.0, linked, 0
     data = text.lower().encode("utf-8", "replace")
     ratio = len(zlib.compress(data, 9)) / len(data) / prose_ratio(len(data), dense_script(text))
+    if sum(w.lower() in _FUNCTION for w in words) >= 0.2 * len(words):  # sentences without their punctuation
+        return ratio, 1.0, linked, len(words)
     sentences = 0
     for m in _SENTENCE.finditer(text):
         s = m.group()
