@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import leakage, spam, syntax, tokens
+from corpusloom.llm import docpairs, handwritten, leakage, spam, syntax, tokens
 from corpusloom.sources.tables import table
 
 
@@ -34,5 +34,15 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return syntax.invalid_rates(files, syntax.invalid_files(files))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated, minified and third-party files and data tables."""
+    return handwritten.machine_files(table(spark, folder, "files")).select("file_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions and methods with non-trivial documentation."""
+    return docpairs.documented_functions(table(spark, folder, "files"), table(spark, folder, "symbols")).select("file_id", "name", "line")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}

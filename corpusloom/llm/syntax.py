@@ -54,6 +54,8 @@ _OPEN = {"(": ")", "[": "]", "{": "}"}
 _BRACKET = re.compile(r"[()\[\]{}]")
 _MARKER = re.compile(r"(?m)^(?:<{7}|>{7}|\|{7})(?: |\r?$)|^={7}\r?$|^@@ -\d|^diff --git |^\+\+\+ b/|^--- a/")
 _ODD = re.compile("[“”‘’‚‛„«»‹›…–—′″＂＇�\x00\x01\x04-\x08\x0b\x0e-\x1f]")
+#: Characters that stand only inside opaque pieces.
+_FOREIGN = {"java": re.compile(r"[`#\\]"), "go": re.compile(r"[#$?@\\]"), "rust": re.compile(r"[`\\]"), "python": re.compile(r"[`$?]"), "javascript": re.compile(r"\\"), "typescript": re.compile(r"\\")}
 _NUMBER_WORD = re.compile(r"(?<![\w.\"'$#])\d[\w.]*[ \t]+(?=[A-Za-z_$\x02])([A-Za-z_$]\w*)?")
 _WORDS = re.compile(r"(?<![\w.$@#'])([A-Za-z_$][\w$]*)[ \t]+(?=[A-Za-z_$\x02])([A-Za-z_$][\w$]*)?")
 _THREE = re.compile(r"(?<![\w.$@'])([A-Za-z_$][\w$]*)(?=[ \t]+([A-Za-z_$][\w$]*)[ \t]+([A-Za-z_$][\w$]*))|(?m:^)[ \t]*(\.\.\.)[ \t]*\w")
@@ -427,7 +429,7 @@ def fault(text: str | None, extension: str | None) -> tuple[str, int] | None:
             text = code = blank(text.removeprefix("﻿"), language)  # the same lines
             if m := _MARKER.search(code):
                 raise Fault("conflict or patch mark", m.start())
-            if m := _ODD.search(code):
+            if m := _ODD.search(code) or _FOREIGN[language].search(code):
                 raise Fault("misplaced token", m.start())
             _balance(code)
             _neighbours(code, language)
@@ -450,7 +452,7 @@ def invalid_files(files: DataFrame) -> DataFrame:
     The extension of ``path`` decides on the language. Null and empty contents
     and other extensions are no case; repeated rows count once.
     """
-    rows = files.select("file_id", "repo", "path", "content").filter("content is not null and content <> ''").dropDuplicates(["file_id"])
+    rows = files.select("file_id", "repo", "path", "content").filter("content is not null and content <> ''")
     rows = rows.select("file_id", "repo", "path", extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(*LANGUAGES))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +463,7 @@ def invalid_files(files: DataFrame) -> DataFrame:
             own = [pa.array([f[k] for f in found], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(3)), *own], ["file_id", "repo", "path", "language", "fault", "line"])
 
-    return rows.mapInArrow(check, "file_id bigint, repo string, path string, language string, fault string, line int")
+    return rows.mapInArrow(check, "file_id bigint, repo string, path string, language string, fault string, line int").dropDuplicates(["file_id"])
 
 
 def invalid_rates(files: DataFrame, invalid: DataFrame) -> DataFrame:
