@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import docpairs, handwritten, leakage, spam, syntax, tokens
+from corpusloom.llm import credentials, docpairs, handwritten, leakage, spam, syntax, tokens
 from corpusloom.sources.tables import table
 
 
@@ -44,5 +44,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, folder, "files"), table(spark, folder, "symbols")).select("file_id", "name", "line")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Credentials in files and in the evidence of rules."""
+    return credentials.found_credentials(table(spark, folder, "files"), table(spark, folder, "rules"))
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The files with their credentials written over."""
+    return credentials.redacted_files(table(spark, folder, "files")).select("file_id", "absolute_path", "content")
+
+
+QUERIES = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
