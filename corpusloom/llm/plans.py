@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import credentials, docpairs, handwritten, leakage, spam, syntax, tokens
+from corpusloom.llm import credentials, docpairs, handwritten, leakage, neighbours, spam, syntax, tokens
 from corpusloom.sources.tables import table
 
 
@@ -54,5 +54,20 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_files(table(spark, folder, "files")).select("file_id", "absolute_path", "content")
 
 
-QUERIES = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+#: Neighbours below this cosine share a few common terms only.
+ALIKE = 0.5
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors that are among each other's five most similar, with a cosine of at least 0.8."""
+    near = neighbours.nearest(table(spark, folder, "file_vectors"), k=5, min_cosine=0.8)
+    return neighbours.mutual(near, 0.8).select("vec_a", "vec_b")
+
+
+def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar others of each vector, of a cosine of at least ``ALIKE``."""
+    return neighbours.nearest(table(spark, folder, "file_vectors"), k=5, min_cosine=ALIKE)
+
+
+QUERIES = {"p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
