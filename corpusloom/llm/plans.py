@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import credentials, docpairs, handwritten, leakage, neighbours, spam, syntax, tokens
+from corpusloom.llm import clusters, credentials, docpairs, handwritten, leakage, neighbours, spam, syntax, tokens
 from corpusloom.sources.tables import table
 
 
@@ -54,6 +54,17 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_files(table(spark, folder, "files")).select("file_id", "absolute_path", "content")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Units in clusters of at least two, by Markov clustering of their terms."""
+    return clusters.cluster_units(table(spark, folder, "file_terms")).select("cluster_key", "unit_id")
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster with its size, cohesion, most typical terms and members."""
+    units = table(spark, folder, "file_terms")
+    return clusters.describe_clusters(clusters.cluster_units(units), units)
+
+
 #: Neighbours below this cosine share a few common terms only.
 ALIKE = 0.5
 
@@ -69,5 +80,5 @@ def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "file_vectors"), k=5, min_cosine=ALIKE)
 
 
-QUERIES = {"p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
