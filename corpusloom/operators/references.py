@@ -18,18 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.paths import norm_path
+
 #: 2**20 words of 8 bytes: no broadcast is larger than about 32 MB as a hash table.
 MAX_WORDS = 1 << 20
 #: Parent keys for each word; 4 bits of 64 are set for each key.
 KEYS_PER_WORD = 6
 
 
-def norm_path(path: Column) -> Column:
-    r"""``\`` as ``/``, repeated ``/`` once, without leading ``./``."""
-    slashes = F.regexp_replace(path, r"[\\/]+", "/")
-    return F.regexp_replace(slashes, r"^(\./)+", "")
-
-
 def _word_count(parents: int, max_words: int) -> int:
     words = 1
     while words < max_words and words * KEYS_PER_WORD < parents:
