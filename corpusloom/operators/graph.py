@@ -143,47 +143,65 @@ def layer_boundaries(edges: DataFrame, layers: DataFrame) -> DataFrame:
     return met.groupBy("repo", "from_layer", "to_layer").agg(F.count(F.lit(1)).alias("edges"), bad.alias("violations")).withColumn("allowed", F.col("violations") == 0)
 
 
-def files_on_cycles(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def files_on_cycles(edges: DataFrame) -> DataFrame:
     """(repo, path): files on an import cycle of any length.
 
-    Files without an edge in, or without one out, are peeled off first, until
-    none is left to peel or ``rounds`` are over; what remains holds every cycle
-    and the files between cycles. Then the smallest path that can reach a file
-    and the smallest that it can reach are spread along the edges; within parts
-    where both agree a file that keeps an edge to its own part is on a cycle, and
-    parts that differ are cut and spread again.
+    Strongly connected parts by colouring: every file takes the largest number
+    that reaches it along the edges, so that a file that keeps its own is the root
+    of its part; what reaches the root backward within its colour is the part.
+    Parts found, and edges between colours, are taken out, files without an edge
+    in or out are peeled off, and the rest is coloured again until no edge is left.
     """
-    e = durable(edges)
-    for _ in range(rounds):
-        size = e.count()
-        e = durable(e.join(e.select("repo", F.col("target").alias("source")).distinct(), ["repo", "source"], "left_semi").join(e.select("repo", F.col("source").alias("target")).distinct(), ["repo", "target"], "left_semi"))
-        if e.count() == size:
-            break
-    for _ in range(rounds):
+    numbered = durable(edges.select("repo", "source", "target", F.xxhash64("repo", "source").alias("s"), F.xxhash64("repo", "target").alias("t")))
+    names = numbered.select("repo", F.col("source").alias("path"), F.col("s").alias("v")).unionByName(numbered.select("repo", F.col("target").alias("path"), F.col("t").alias("v"))).distinct()
+    e = numbered.select("s", "t")
+    on = None
+    while True:
+        e = _peeled(e)
         if e.isEmpty():
             break
-        forward, backward = _spread(e, "source", "target", rounds), _spread(e, "target", "source", rounds)
-        part = forward.join(backward.withColumnRenamed("label", "back"), ["repo", "path"]).select("repo", "path", "label", "back")
-        a = part.select("repo", F.col("path").alias("source"), F.col("label").alias("l1"), F.col("back").alias("b1"))
-        b = part.select("repo", F.col("path").alias("target"), F.col("label").alias("l2"), F.col("back").alias("b2"))
-        inside = durable(e.join(a, ["repo", "source"]).join(b, ["repo", "target"]).filter("l1 = l2 and b1 = b2").select("repo", "source", "target"))
-        if inside.count() == e.count():
-            break
-        e = inside
-    return e.select("repo", F.col("source").alias("path")).unionByName(e.select("repo", F.col("target").alias("path"))).distinct()
+        colours = _grown(e, e.select(F.col("s").alias("v")).unionByName(e.select(F.col("t").alias("v"))).distinct().withColumn("c", F.col("v")), "max")
+        same = durable(e.join(colours.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(colours.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t").filter("cs = ct").select("s", "t"))
+        roots = colours.filter("v = c")
+        part = _grown(same.select(F.col("t").alias("s"), F.col("s").alias("t")), roots, "max")
+        many = part.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c")
+        found = durable(part.join(many, "c", "left_semi").select("v"))
+        on = found if on is None else on.unionByName(found)
+        gone = part.select("v")
+        e = same.join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "t"), "t", "left_anti")
+    if on is None:
+        return names.select("repo", "path").limit(0)
+    return names.join(on.distinct(), "v", "left_semi").select("repo", "path")
+
+
+def _peeled(e: DataFrame, steps: int = 3) -> DataFrame:
+    """The edges (s, t) without those that no cycle can use: whose ends lack an edge in or an edge out."""
+    size = -1
+    while True:
+        for _ in range(steps):
+            e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t")
+        e = durable(e)
+        now = e.count()
+        if now in (0, size):
+            return e
+        size = now
+
 
+def _grown(e: DataFrame, start: DataFrame, how: str, steps: int = 3) -> DataFrame:
+    """(v, c): the values of ``start`` spread along the edges (s, t) until none changes; a vertex keeps its largest.
 
-def _spread(edges: DataFrame, start: str, end: str, rounds: int) -> DataFrame:
-    """(repo, path, label): the smallest path from which a file can be reached along the edges from ``start`` to ``end``, or itself."""
-    nodes = edges.select("repo", F.col(start).alias("path")).unionByName(edges.select("repo", F.col(end).alias("path"))).distinct()
-    labels = durable(nodes.withColumn("label", F.col("path")))
+    Several steps are taken between two checks of whether anything moved.
+    """
+    values, before = start, None
     while True:
-        sent = edges.join(labels.withColumnRenamed("path", start), ["repo", start]).select("repo", F.col(end).alias("path"), "label")
-        after = durable(labels.unionByName(sent).groupBy("repo", "path").agg(F.min("label").alias("label")))
-        changed = after.join(labels.withColumnRenamed("label", "old"), ["repo", "path"]).filter("label <> old").isEmpty()
-        labels = after
-        if changed:
-            return labels
+        for _ in range(steps):
+            sent = e.join(values.select(F.col("v").alias("s"), "c"), "s").select(F.col("t").alias("v"), "c")
+            values = values.unionByName(sent).groupBy("v").agg(F.expr(f"{how}(c)").alias("c"))
+        values = durable(values)
+        now = values.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "c") % F.lit(1 << 40))).first()
+        if now == before:
+            return values
+        before = now
 
 
 def dependencies(edges: DataFrame, nodes: DataFrame, layers: DataFrame) -> DataFrame:
