@@ -145,7 +145,8 @@ def find(text: str, bare: str = "comments", vocabulary: str = f"{TOKENIZERS}/byt
             stop = s.find("-----END", end)
             end = stop if stop >= 0 else len(s)
             start = m.end()
-            found.append((m.start(), end, start))
+            if len(set(re.sub(r"\\.|\W", "", s[start:end]))) >= 6:  # else only the marks, or a blanked body
+                found.append((m.start(), end, start))
         else:
             found.append((start, end, start))
     taken = sorted((a, b) for a, b, _ in found)

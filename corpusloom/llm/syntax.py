@@ -73,7 +73,7 @@ def _lexer(comments: str, strings: str, bad: str) -> re.Pattern[str]:
 
 
 _TRIPLE = r"'''(?:[^'\\]|\\.|'(?!''))*'''|" + r'"""(?:[^"\\]|\\.|"(?!""))*"""'
-_SCRIPT = _lexer(rf"//[^\n]*|{_BLOCK}|\A#![^\n]*", rf"{_DOUBLE}|{_SINGLE}|`(?:[^`\\$]|\\.|\$(?!\{{))*`|`|/", r"/\*|[\"']")
+_SCRIPT = _lexer(rf"//[^\n]*|{_BLOCK}|\A#![^\n]*", rf"{_DOUBLE}|{_SINGLE}|`(?:[^`\\$]|\\.|\$(?!\{{))*`|`|/(?!\*)", r"/\*|[\"']")
 LEXERS = {
     "python": _lexer(r"\#[^\n]*", rf"\b[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_DOUBLE}|{_SINGLE})|{_TRIPLE}|{_DOUBLE}|{_SINGLE}", r"[\"']"),
     "javascript": _SCRIPT,
