@@ -87,7 +87,7 @@ def life_spans(parents: DataFrame) -> DataFrame:
         .agg(F.min("born").alias("born"), F.max("died").alias("died"))
         .select("key", "born", "died")
     )
-    return islands.unionByName(first_open.select("key", F.col("open_from").alias("born"), F.lit(None).cast("timestamp").alias("died")))
+    return islands.unionByName(first_open.select("key", F.col("open_from").alias("born"), F.lit(None).cast(parents.schema["died"].dataType).alias("died")))
 
 
 def orphans(references: DataFrame, parents: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
@@ -100,7 +100,7 @@ def orphans(references: DataFrame, parents: DataFrame, max_words: int = MAX_WORD
     reference is an orphan.
     """
     references = references.filter(F.col("key").isNotNull())
-    parents = parents.select("key", F.col("born").cast("timestamp"), F.col("died").cast("timestamp")).filter("key is not null")
+    parents = parents.select("key", "born", "died").filter("key is not null")
     words = _word_count(parents.select(F.approx_count_distinct("key")).first()[0], max_words)
     bloom = F.broadcast(bloom_words(parents, "key", words))
     mask = _mask(F.col("key"))

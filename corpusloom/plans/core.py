@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import calls, corpus, decisions, extract, graph, mining, references, review, rules, semantic, verification
+from corpusloom.operators import calls, corpus, decisions, extract, graph, metrics, mining, overview, references, review, rules, semantic, verification
 from corpusloom.session import durable
 from corpusloom.sources import diffs
 from corpusloom.sources.tables import table
@@ -494,6 +494,38 @@ def decision_timeline(c: Corpus) -> DataFrame:
     return decisions.timeline(decisions.merged(*_decisions(c)))
 
 
+@query
+def frameworks(c: Corpus) -> DataFrame:
+    """The framework that each repository's imports name."""
+    return overview.frameworks(c.imports())
+
+
+@query
+def entry_points(c: Corpus) -> DataFrame:
+    """Files where programs start."""
+    return overview.entry_points(c.files())
+
+
+@query
+def external_packages(c: Corpus) -> DataFrame:
+    """Packages from outside by the files that import them."""
+    return overview.external_packages(c.imports())
+
+
+@query
+def snapshot_retention(c: Corpus) -> DataFrame:
+    """The last fifty events of each user."""
+    return metrics.retained(c.raw("events"), "user_id", "ts", "event_id").select("event_id", "user_id", "ts")
+
+
+@query
+def metric_trend(c: Corpus) -> DataFrame:
+    """Daily means of event values by type."""
+    rows = metrics.trend(c.raw("events"), "event_type", "ts", "value")
+    digits = lambda x: F.floor(F.col(x) * 1000 + 0.5) / 1000
+    return rows.select("event_type", "day", "n", digits("mean").alias("mean"))
+
+
 from corpusloom.plans.oracle import SQL  # noqa: E402
 
 __all__ = ["QUERIES", "SQL"]

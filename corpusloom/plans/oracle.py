@@ -6,7 +6,7 @@ from corpusloom.functions.identifiers import STOPWORDS
 from corpusloom.functions.paths import LANGUAGE_OF, SOURCE_EXTENSIONS
 from corpusloom.operators.decisions import KEYWORDS
 from corpusloom.operators.graph import EXTENSIONS, INDEX_FILES, LAYER_DIRS, LAYER_RANK
-from corpusloom.operators.rules import CHECKS
+from corpusloom.operators.overview import ENTRY_NAMES, FRAMEWORKS
 
 
 def _norm(x: str) -> str:
@@ -241,6 +241,14 @@ se AS (SELECT repo, category, '## ' || category || string_agg(entry, '' ORDER BY
     "decision_timeline": _with(_DECISIONS) + "SELECT repo, strftime(decided_at, '%Y-%m') AS month, count(*) AS decisions, arg_min(title, (decided_at, id)) AS first_title FROM de GROUP BY ALL",
 }
 
+SQL |= {
+    "frameworks": _with(_IMPORTS, f"fw(k, p, n) AS (VALUES {_values((k, p, n) for k, (p, n) in enumerate(FRAMEWORKS))})") + "SELECT repo, arg_min(n, k) AS framework FROM im JOIN fw ON starts_with(source, p) GROUP BY repo",
+    "entry_points": _with(_FILES) + f"SELECT repo, path FROM lf WHERE regexp_extract(path, '([^/]*)$', 1) IN ({', '.join(repr(x) for x in ENTRY_NAMES)}) OR (regexp_matches(path, '^cmd/[^/]+/[^/]+$') AND language = 'go') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY len(string_split(path, '/')), path) <= 8",
+    "external_packages": _with(_IMPORTS) + "SELECT repo, package, count(*) AS files FROM (SELECT DISTINCT repo, CASE WHEN starts_with(source, '@') THEN regexp_extract(source, '^(@[^/]+/[^/]+)', 1) ELSE split_part(source, '/', 1) END AS package, path FROM im WHERE source IS NOT NULL AND resolved_path IS NULL AND NOT regexp_matches(source, '^[./#~]|^@/')) GROUP BY ALL HAVING count(*) >= 2",
+    "snapshot_retention": "SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50",
+    "metric_trend": "SELECT event_type, ts::DATE AS day, count(*) AS n, floor(avg(value) * 1000 + 0.5) / 1000 AS mean FROM events WHERE value > 0 GROUP BY ALL",
+}
+
 from corpusloom.plans import oracle_lines  # noqa: E402
 
 SQL |= oracle_lines.SQL
