@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import calls, corpus, decisions, extract, graph, metrics, mining, overview, references, review, rules, semantic, verification
+from corpusloom.operators import calls, corpus, decisions, extract, graph, metrics, mining, overview, parse, references, review, rules, semantic, verification
 from corpusloom.session import durable
 from corpusloom.sources import diffs
 from corpusloom.sources.tables import table
@@ -151,6 +151,18 @@ def marker_comments(c: Corpus) -> DataFrame:
     return extract.marker_comments(c.files("content")).select("file_id", "line", "marker")
 
 
+@query
+def parsed_symbols(c: Corpus) -> DataFrame:
+    """Declarations with their spans, read from contents."""
+    return parse.parsed_symbols(c.files("content"))
+
+
+@query
+def parsed_calls(c: Corpus) -> DataFrame:
+    """Call sites read from contents."""
+    return parse.parsed_calls(c.files("content"))
+
+
 @query
 def resolved_imports(c: Corpus) -> DataFrame:
     """Relative and aliased imports resolved by candidate paths."""

@@ -90,3 +90,22 @@ def test_streams_match_batches(spark, sf, tmp_path):
     want = extract.line_symbols(batch.dropDuplicates(["file_id"]).withColumn("language", paths.language(batch.path)))
     assert spark.table("syms").count() == want.count() > 0
     assert spark.table("langs").groupBy().sum("files").first()[0] == batch.dropDuplicates(["file_id"]).count()
+
+
+def test_parsed_facts(spark, sf):
+    from corpusloom.operators import parse
+
+    code = files(spark, [
+        ("a.ts", "typescript", "import x from 'y';\nexport class A extends B {\n  run(a: number) {\n    if (a) { return this.go(a); }\n    const r = /[({]+/g;\n    return new Thing('}');\n  }\n}\nfunction f(): void { g(); }\nf();\n"),
+        ("b.py", "python", "class A(Base):\n    def run(self, x):\n        if x and y:\n            return os.path.join(x)\n\ndef f():\n    pass\nf()\n"),
+        ("c.go", "go", "package c\n\nfunc (x *T) Run(a int) int {\n\treturn fmt.Sum(a)\n}\n"), ("d.py", "python", "def f(:\n"), ("e.ts", "typescript", None), ("f.rs", "rust", "impl<'a> S<'a> {\n    pub fn run(&self) -> char { '{' }\n}\n"),
+    ])
+    symbols = sorted((r.file_id, r.name, r.type, r.line, r.end_line, r.parent_symbol, r.complexity) for r in parse.parsed_symbols(code).collect())
+    assert symbols == [(0, "A", "class", 2, 8, None, 2), (0, "f", "function", 9, 9, None, 1), (0, "run", "method", 3, 7, "A", 2), (1, "A", "class", 1, 4, None, 1), (1, "f", "function", 6, 7, None, 1), (1, "run", "method", 2, 4, "A", 3), (2, "Run", "method", 3, 5, "T", 1), (5, "run", "method", 2, 2, "S", 1)]
+    calls = {(r.file_id, r.caller, r.callee, r.callee_root, r.kind) for r in parse.parsed_calls(code).collect()}
+    assert {(0, "A.run", "this.go", "this", "call"), (0, "A.run", "Thing", None, "new"), (0, "A", "B", None, "extends"), (0, "f", "g", None, "call"), (0, "", "f", None, "call"), (1, "A.run", "os.path.join", "os", "call"), (1, "A", "Base", None, "extends"), (1, "", "f", None, "call"), (2, "T.Run", "fmt.Sum", "fmt", "call")} == calls
+    raw = spark.read.parquet(sf.replace("0.001", "0.01") + "/files.parquet")
+    got = {(r.file_id, r.name, r.line): (r.type, r.end_line) for r in parse.parsed_symbols(corpus.live_files(raw, "content")).collect()}
+    known = spark.read.parquet(sf.replace("0.001", "0.01") + "/symbols.parquet").filter("removed_at is null and end_line is not null and type in ('function', 'method', 'class')").distinct().collect()
+    same = sum(got.get((r.file_id, r.name, r.line)) == (r.type, r.end_line) for r in known)
+    assert same > 0.95 * len(known)
