@@ -211,3 +211,39 @@ def dependencies(edges: DataFrame, nodes: DataFrame, layers: DataFrame) -> DataF
     none = F.array().cast("array<string>")
     rows = nodes.filter("degree > 0").select("repo", "path", "degree").join(out, ["repo", "path"], "left").join(into, ["repo", "path"], "left").join(layers.select("repo", "path", "layer"), ["repo", "path"], "left")
     return rows.select("repo", "path", F.coalesce("layer", F.lit("unknown")).alias("layer"), "degree", F.coalesce("imports", none).alias("imports"), F.coalesce("imported_by", none).alias("imported_by"))
+
+
+def go_modules(files: DataFrame) -> DataFrame:
+    """(repo, prefix, root): module paths of ``go.mod`` files and the folders that they stand in."""
+    rows = files.filter((paths.basename(F.col("path")) == "go.mod") & F.col("content").isNotNull())
+    return rows.select("repo", F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("prefix"), paths.dirname(F.col("path")).alias("root")).filter("prefix <> ''")
+
+
+def script_aliases(files: DataFrame) -> DataFrame:
+    """(repo, prefix, folder): path aliases of ``tsconfig.json`` and ``jsconfig.json``, comments and trailing commas allowed; broken files give none."""
+    rows = files.filter(paths.basename(F.col("path")).isin("tsconfig.json", "jsconfig.json") & F.col("content").isNotNull())
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)/\*.*?\*/", ""), r"(?m)(^|[^:])//.*$", "$1"), r",(\s*[}\]])", "$1")
+    options = F.from_json(bare, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
+    pairs = rows.select("repo", paths.dirname(F.col("path")).alias("dir"), F.coalesce(options["baseUrl"], F.lit(".")).alias("base"), F.explode(options["paths"]).alias("key", "targets"))
+    each = pairs.select("repo", "dir", "base", F.regexp_replace("key", r"\*$", "").alias("prefix"), F.explode("targets").alias("target"))
+    folder = _joined(F.concat_ws("/", "dir", "base"), F.regexp_replace("target", r"\*$", ""))
+    return each.select("repo", "prefix", folder.alias("folder")).distinct()
+
+
+def resolve_packages(imports: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
+    """(import_id, repo, path, source, target): every Go file of the package folder that an import names; the longest module prefix that has one wins."""
+    s, p = F.col("source"), F.col("prefix")
+    met = imports.join(modules, "repo").filter((s == p) | s.startswith(F.concat(p, F.lit("/"))))
+    rest = F.regexp_replace(F.expr("substring(source, length(prefix) + 1)"), "^/", "")
+    met = met.select("import_id", "repo", "path", "source", F.length("prefix").alias("size"), F.array_join(F.filter(F.array("root", rest), lambda x: x != ""), "/").alias("dir"))
+    known = files.filter(F.col("path").endswith(".go")).select("repo", paths.dirname(F.col("path")).alias("dir"), F.col("path").alias("target"))
+    hits = met.join(known, ["repo", "dir"])
+    best = hits.groupBy("import_id").agg(F.max("size").alias("size"))
+    return hits.join(best, ["import_id", "size"]).select("import_id", "repo", "path", "source", "target")
+
+
+def aliased_imports(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The imports with each aliased source written from the root, as ``/folder/rest``; of several prefixes the longest counts."""
+    met = imports.join(aliases, "repo").filter(F.col("source").startswith(F.col("prefix")))
+    best = met.groupBy("import_id").agg(F.max_by(F.concat_ws("/", F.lit(""), "folder", F.expr("substring(source, length(prefix) + 1)")), F.length("prefix")).alias("_rooted"))
+    return imports.join(best, "import_id", "left").withColumn("path", F.when(F.col("_rooted").isNotNull(), F.lit("")).otherwise(F.col("path"))).withColumn("source", F.coalesce("_rooted", "source")).drop("_rooted")

@@ -63,3 +63,8 @@ def summary(found: DataFrame, changed: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     rows = files.join(counts, "repo", "left").select("repo", "files", F.coalesce("violations", zero).alias("violations"), F.coalesce("warnings", zero).alias("warnings"))
     return rows.withColumn("clean", F.greatest(zero, F.col("files") - F.col("violations") - F.col("warnings")))
+
+
+def similar_suggestions(similar: DataFrame, least: float = 0.3) -> DataFrame:
+    """(repo, path, like, cosine): for each new file the most similar one, if it is similar enough; takes ``similar_files`` of the new files."""
+    return similar.filter((F.col("rank") == 1) & (F.col("cosine") >= least)).select("repo", F.col("query").alias("path"), F.col("path").alias("like"), "cosine")

@@ -458,6 +458,21 @@ def review_summary(c: Corpus) -> DataFrame:
     return review.summary(found, fresh.select("repo", F.col("source").alias("path")))
 
 
+@query
+def similar_suggestions(c: Corpus) -> DataFrame:
+    """The file most similar to each that was first scanned since the change, from a cosine of 0.1."""
+    weights = durable(c.weights())
+    asked = c.files("scanned_at").filter(F.col("scanned_at") >= F.lit(CHANGE).cast("timestamp")).select("repo", "path")
+    similar = semantic.similar_files(weights, weights.join(asked, ["repo", "path"], "left_semi").withColumnRenamed("path", "query"), 1)
+    return review.similar_suggestions(similar, 0.1)
+
+
+@query
+def pattern_adoption(c: Corpus) -> DataFrame:
+    """Files that use ``async`` by month of their scan."""
+    return metrics.pattern_adoption(c.files("content", "scanned_at"), "async ")
+
+
 @query
 def diff_files(c: Corpus) -> DataFrame:
     """Every live file as the diff that adds it, parsed back."""

@@ -245,6 +245,9 @@ SQL |= {
     "frameworks": _with(_IMPORTS, f"fw(k, p, n) AS (VALUES {_values((k, p, n) for k, (p, n) in enumerate(FRAMEWORKS))})") + "SELECT repo, arg_min(n, k) AS framework FROM im JOIN fw ON starts_with(source, p) GROUP BY repo",
     "entry_points": _with(_FILES) + f"SELECT repo, path FROM lf WHERE regexp_extract(path, '([^/]*)$', 1) IN ({', '.join(repr(x) for x in ENTRY_NAMES)}) OR (regexp_matches(path, '^cmd/[^/]+/[^/]+$') AND language = 'go') QUALIFY row_number() OVER (PARTITION BY repo ORDER BY len(string_split(path, '/')), path) <= 8",
     "external_packages": _with(_IMPORTS) + "SELECT repo, package, count(*) AS files FROM (SELECT DISTINCT repo, CASE WHEN starts_with(source, '@') THEN regexp_extract(source, '^(@[^/]+/[^/]+)', 1) ELSE split_part(source, '/', 1) END AS package, path FROM im WHERE source IS NOT NULL AND resolved_path IS NULL AND NOT regexp_matches(source, '^[./#~]|^@/')) GROUP BY ALL HAVING count(*) >= 2",
+    "similar_suggestions": _with(*_BASE, _TOKENS, _TFIDF) + """SELECT repo, query AS path, path AS "like", cosine FROM (SELECT repo, query, path, cosine FROM (
+      SELECT q.repo, q.path AS query, t.path, floor(sum(q.weight * t.weight) * 1000 + 0.5) / 1000 AS cosine FROM tw q JOIN lf ON lf.repo = q.repo AND lf.path = q.path AND lf.scanned_at >= TIMESTAMP '2026-05-01' JOIN tw t ON t.repo = q.repo AND t.term = q.term AND t.path <> q.path GROUP BY ALL) WHERE cosine > 0 QUALIFY row_number() OVER (PARTITION BY repo, query ORDER BY cosine DESC, path) = 1) WHERE cosine >= 0.1""",
+    "pattern_adoption": _with(_FILES) + "SELECT repo, strftime(scanned_at, '%Y-%m') AS month, count(*) AS files, count(*) FILTER (contains(content, 'async ')) AS matching FROM lf WHERE content IS NOT NULL AND scanned_at IS NOT NULL GROUP BY ALL",
     "snapshot_retention": "SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50",
     "metric_trend": "SELECT event_type, ts::DATE AS day, count(*) AS n, floor(avg(value) * 1000 + 0.5) / 1000 AS mean FROM events WHERE value > 0 GROUP BY ALL",
 }

@@ -116,3 +116,15 @@ def test_same_terms_are_one_and_components_are_whole(spark):
     assert semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3).count() == 30
     chain = spark.createDataFrame([("r", f"{n:03}", f"{n + 1:03}", 1.0) for n in range(60)], "repo string, a string, b string, cosine double")
     assert {r.component for r in semantic.components(chain).collect()} == {"000"}
+
+
+def test_modules_and_aliases(spark):
+    rows = [("backend/go.mod", "// x\nmodule example.com/app\n"), ("backend/internal/svc/a.go", ""), ("backend/internal/svc/b.go", ""), ("backend/main.go", ""), ("web/tsconfig.json", '{ // c\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["./src/*"], }},}'), ("web/src/ui/Button.tsx", ""), ("jsconfig.json", "{broken"), ("x/tsconfig.json", None)]
+    known = spark.createDataFrame([("r", p, t) for p, t in rows], "repo string, path string, content string")
+    modules, aliases = graph.go_modules(known), graph.script_aliases(known)
+    assert [(m.prefix, m.root) for m in modules.collect()] == [("example.com/app", "backend")]
+    assert [(a.prefix, a.folder) for a in aliases.collect()] == [("@/", "web/src")]
+    imports = spark.createDataFrame([(1, "r", "backend/main.go", "example.com/app/internal/svc"), (2, "r", "backend/main.go", "fmt"), (3, "r", "web/src/a.ts", "@/ui/Button"), (4, "r", "web/src/a.ts", "react"), (5, "r", "backend/x.go", "example.com/apple")], "import_id long, repo string, path string, source string")
+    assert sorted((r.import_id, r.target) for r in graph.resolve_packages(imports, known, modules).collect()) == [(1, "backend/internal/svc/a.go"), (1, "backend/internal/svc/b.go")]
+    got = {r.import_id: r.target for r in graph.resolve_imports(graph.aliased_imports(imports, aliases), known).collect()}
+    assert got == {3: "web/src/ui/Button.tsx"}
