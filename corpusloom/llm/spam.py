@@ -30,7 +30,7 @@ MOSTLY = 0.5
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\"'\]]+", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
 _MARKDOWN = re.compile(r"\[([^\[\]]*)\]\([^()]*\)")
-_SENTENCE = re.compile(r"[^.!?。！？\n]*[.!?。！？](?=[\s\"')\]*_`]|$|[^\x00-\x7f])")
+_END = re.compile(r"\n|[.!?。！？](?=[\s\"')\]*_`]|$|[^\x00-\x7f])")
 _WRAP = re.compile(r"(?<=[^\W\d_A-Z.]|,)\n[ \t]*(?://+|[#*>+-])*[ \t]*(?=[^\W\d_A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"[{}();=]|\w\.\w|\w/|[|`]--|==|\w_\w|^\s*\w+://", re.M)
@@ -56,10 +56,12 @@ def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
         at = end
 
 
+_WIDE = re.compile("[\u3040-\u9fff\uac00-\ud7a3]+")
+
+
 def dense_script(text: str) -> bool:
-    """Whether most letters are of a script that writes words in one or two characters."""
-    wide = sum("぀" <= c <= "鿿" or "가" <= c <= "힣" for c in text)
-    return wide * 3 > len(text)
+    """Whether a third of the text is of a script that writes words in one or two characters."""
+    return not text.isascii() and sum(map(len, _WIDE.findall(text))) * 3 > len(text)
 
 
 def prose_ratio(size: int, dense: bool) -> float:
@@ -67,21 +69,34 @@ def prose_ratio(size: int, dense: bool) -> float:
     return min(1.0, (0.40 if dense else 0.34) + 4.2 / math.sqrt(max(size, 1)))
 
 
+def _bare(block: str) -> str:
+    """The block with the texts of its links instead of their targets."""
+    if "](" in block:
+        block = _MARKDOWN.sub(r"\1 ", block)
+    if "<" in block:
+        block = _ANCHOR.sub(r"\1 ", block)
+    return _URL.sub(" ", block) if "://" in block or "ww" in block else block
+
+
 def block_features(block: str) -> tuple[float, float, float, int]:
     """(ratio against prose, share in sentences, share in links, words)."""
-    bare = _MARKDOWN.sub(r"\1 ", _ANCHOR.sub(r"\1 ", block))
-    text = _PRICE.sub("0", _WRAP.sub(" ", _URL.sub(" ", bare)))
-    linked = 1 - len(_URL.sub(" ", bare).strip()) / max(len(block.strip()), 1)
-    words = _WORD.findall(text)
+    bare = _bare(block)
+    linked = 1 - len(bare.strip()) / max(len(block.strip()), 1)
+    text = _PRICE.sub("0", _WRAP.sub(" ", bare))
+    low = text.lower()
+    words = _WORD.findall(low)
     if not words:
         return 0.0, 0.0, linked, 0
-    data = text.lower().encode("utf-8", "replace")
-    ratio = len(zlib.compress(data, 9)) / len(data) / prose_ratio(len(data), dense_script(text))
-    if sum(w.lower() in _FUNCTION for w in words) >= 0.2 * len(words):  # sentences without their punctuation
-        return ratio, 1.0, linked, len(words)
-    sentences = 0
-    for m in _SENTENCE.finditer(text):
-        s = m.group()
+    # prose holds its function words even without its punctuation; its redundancy need not be measured
+    if sum(map(_FUNCTION.__contains__, words)) >= 0.2 * len(words):
+        return 1.0, 1.0, linked, len(words)
+    data = low.encode("utf-8", "replace")
+    ratio = len(zlib.compress(data, 6)) / len(data) / prose_ratio(len(data), dense_script(text))
+    sentences = start = 0
+    for m in _END.finditer(text):
+        s, start = text[start : m.end()], m.end()
+        if m.group() == "\n":
+            continue
         inside = _WORD.findall(s)
         if (len(inside) >= 4 and (sum(not w[0].isupper() for w in inside) * 2 > len(inside) or s.isupper())) or (dense_script(s) and len(s.strip()) >= 8):
             sentences += len(s)
@@ -91,7 +106,7 @@ def block_features(block: str) -> tuple[float, float, float, int]:
 def _is_list(block: str) -> bool:
     """Lines of code, versions, paths or a log."""
     lines = [x for x in block.split("\n") if x.strip()]
-    text = _URL.sub(" ", _MARKDOWN.sub(r"\1 ", _ANCHOR.sub(r"\1 ", block)))
+    text = _bare(block)
     marks = len(_CODE.findall(text)) + len(_VERSION.findall(text)) + 2 * len(_TIME.findall(text)) - 2 * len(_PRICE.findall(text))
     return marks >= 0.5 * len(lines) and marks * 12 >= len(_WORD.findall(text))
 
