@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +36,9 @@ LEAF_SAMPLE = 16
 BLOCK_ROWS = 2048
 #: Rows that visit leaves in a partition.
 VISITS_PER_PARTITION = 400_000
+#: Vectors in a block of the exact search, and cosines that it holds at a time.
+EXACT_ROWS = 16_384
+CELLS = 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -213,11 +217,7 @@ def nearest(
     1 with it and counts as any other. Null, empty and zero vectors have no
     neighbours and are none. The forest may miss neighbours; cosines are exact.
     """
-    units = durable(unit_vectors(vectors, id_col, vector_col))
-    # copies: one representative each, and the k + 1 smallest ids, which are all that anyone can need
-    units = units.withColumn("copy", F.xxhash64("terms", F.transform("weights", lambda w: F.floor(w * 1e5 + 0.5))))
-    copies = units.select("copy", "vec_id")
-    reps = durable(units.groupBy("copy").agg(F.min_by(F.struct("terms", "weights"), "vec_id").alias("v"), F.min("vec_id").alias("vec_id")).select("copy", "vec_id", "v.terms", "v.weights"))
+    copies, reps = _classes(vectors, id_col, vector_col)
     forest, rows = _fit(reps, sample, trees, leaf, seed)
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
@@ -287,6 +287,19 @@ def nearest(
 
     pairs = met.mapInArrow(rank, "a bigint, b bigint, cosine float")
     best = _top(pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "a", "b", k + 1)
+    return _listed(best, copies, k, id_col).filter(F.col("cosine") >= min_cosine)
+
+
+def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """(copy, vec_id) of all vectors, and one representative (copy, vec_id, terms, weights) of each class of copies."""
+    units = durable(unit_vectors(vectors, id_col, vector_col))
+    units = units.withColumn("copy", F.xxhash64("terms", F.transform("weights", lambda w: F.floor(w * 1e5 + 0.5))))
+    reps = durable(units.groupBy("copy").agg(F.min_by(F.struct("terms", "weights"), "vec_id").alias("v"), F.min("vec_id").alias("vec_id")).select("copy", "vec_id", "v.terms", "v.weights"))
+    return units.select("copy", "vec_id"), reps
+
+
+def _listed(best: DataFrame, copies: DataFrame, k: int, id_col: str) -> DataFrame:
+    """(id_col, neighbour, cosine, rank) from the best k + 1 classes (a, b, cosine); of a class the k + 1 smallest ids are all that anyone can need."""
     few = _first_ids(copies, k + 1)
     # candidates of a copy class: the first ids of its neighbours' classes, and its own
     near = best.join(few.withColumnRenamed("copy", "b"), "b").select(F.col("a").alias("copy"), "vec_id", "cosine")
@@ -301,10 +314,85 @@ def nearest(
         .withColumn("list", F.slice(F.filter("list", lambda e: e["neighbour"] != F.col("vec_id")), 1, k))
         .select("vec_id", F.posexplode("list").alias("p", "e"))
         .select(F.col("vec_id").alias(id_col), F.col("e.neighbour").alias("neighbour"), F.least(-F.col("e.far"), F.lit(1.0).cast("float")).alias("cosine"), (F.col("p") + 1).alias("rank"))
-        .filter(F.col("cosine") >= min_cosine)
     )
 
 
+def _best_of_all(members: tuple, queries: tuple, k: int) -> list[np.ndarray]:
+    """[query places, member places, cosines]: for each query its k best members without itself; ties go to the earlier member.
+
+    Members are read by term, so that only terms which both hold are multiplied;
+    members that share none have cosine 0 and count like the others.
+    """
+    m_copy, m_off, m_terms, m_weights = members
+    q_copy, q_off, q_terms, q_weights = queries
+    n, k = len(m_copy), min(k, len(m_copy))
+    order = np.argsort(m_terms, kind="stable")
+    known, first = np.unique(m_terms[order], return_index=True)
+    first = np.append(first, len(order))
+    holder, weight = np.repeat(np.arange(n), np.diff(m_off))[order], m_weights[order]
+    place = np.minimum(np.searchsorted(known, q_terms), len(known) - 1)
+    many = np.where(known[place] == q_terms, first[place + 1] - first[place], 0)
+    upto, out = np.concatenate([[0], np.cumsum(many)]), []
+    start, rows = 0, max(1, CELLS // n)
+    while start < len(q_copy):
+        # a piece has at most so many cells and, unless it is one row, so many products
+        end = int(np.searchsorted(upto[q_off], upto[q_off[start]] + CELLS, side="right")) - 1
+        end = min(max(end, start + 1), start + rows, len(q_copy))
+        a, b = q_off[start], q_off[end]
+        entry = np.repeat(np.arange(a, b), many[a:b])
+        at = np.arange(upto[a], upto[b]) - upto[entry] + first[place[entry]]
+        row = np.repeat(np.arange(end - start), np.diff(q_off[start : end + 1]))[entry - a]
+        cosines = np.bincount(row * n + holder[at], q_weights[entry].astype(np.float64) * weight[at], (end - start) * n).astype(np.float32).reshape(-1, n)
+        mine = np.searchsorted(m_sorted := np.sort(m_copy), q_copy[start:end])
+        same = m_sorted[np.minimum(mine, n - 1)] == q_copy[start:end]
+        if same.any():
+            q, m = np.nonzero(q_copy[start:end][same][:, None] == m_copy[None, :])
+            cosines[np.flatnonzero(same)[q], m] = -2
+        least = np.partition(cosines, n - k, axis=1)[:, n - k]
+        over = cosines > least[:, None]
+        q, m = np.nonzero(over)
+        tie_q, tie_m = np.nonzero(cosines == least[:, None])
+        nth = np.arange(len(tie_q)) - np.searchsorted(tie_q, tie_q)
+        keep = nth < (k - over.sum(axis=1))[tie_q]
+        q, m = np.concatenate([q, tie_q[keep]]), np.concatenate([m, tie_m[keep]])
+        c = cosines[q, m]
+        real = c > -1.5
+        out.append((q[real] + start, m[real], c[real]))
+        start = end
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def exact_nearest(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector", block_rows: int = EXACT_ROWS) -> DataFrame:
+    """(vec_id, neighbour, cosine, rank): for every vector its ``k`` most similar others, however low their cosine; none is missed.
+
+    Ties go to the smaller id. Null, empty and zero vectors have no neighbours and
+    are none. Every block of vectors meets every block; the work is the number of
+    pairs that share a term, once for each term shared.
+    """
+    copies, reps = _classes(vectors, id_col, vector_col)
+    blocks = max(1, -(-reps.count() // block_rows))
+    block = F.pmod(F.xxhash64("copy", F.lit(1)), F.lit(blocks)).cast("int")
+    turns = F.concat(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(block.alias("m"), x.cast("int").alias("q"), F.lit(False).alias("asks"))), F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(x.cast("int").alias("m"), block.alias("q"), F.lit(True).alias("asks"))))
+    met = reps.select(F.explode(turns).alias("turn"), "copy", "vec_id", "terms", "weights").select("turn.m", "turn.q", "turn.asks", "copy", "vec_id", "terms", "weights")
+    kind = reps.schema["vec_id"].dataType.simpleString()
+
+    def rank(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id")
+        sides = []
+        for asks in (False, True):
+            side = rows.filter(pc.equal(rows["asks"], asks)).combine_chunks()
+            terms, weights = (_sparse(pa.concat_arrays(side[c].chunks) if side.num_rows else pa.array([], side[c].type)) for c in ("terms", "weights"))
+            sides.append((side["vec_id"], (side["copy"].to_numpy(), terms[0], terms[1], weights[1])))
+        (ids, members), (_, queries) = sides
+        if not len(members[0]) or not len(queries[0]):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "vec_id": pa.array([], rows.schema.field("vec_id").type), "cosine": pa.array([], pa.float32())})
+        q, m, c = _best_of_all(members, queries, k + 1)
+        return pa.table({"a": queries[0][q], "b": members[0][m], "vec_id": ids.take(pa.array(m)), "cosine": c})
+
+    found = met.groupBy("m", "q").applyInArrow(rank, f"a bigint, b bigint, vec_id {kind}, cosine float")
+    return _listed(_top(found, "a", "vec_id", k + 1).select("a", "b", "cosine"), copies, k, id_col)
+
+
 def _top(rows: DataFrame, of: str, id_col: str, k: int) -> DataFrame:
     """The k rows of highest cosine, then smallest id, of each ``of``."""
     order = Window.partitionBy(of).orderBy(F.desc("cosine"), id_col)

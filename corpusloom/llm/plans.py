@@ -65,10 +65,6 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.describe_clusters(clusters.cluster_units(units), units)
 
 
-#: Neighbours below this cosine share a few common terms only.
-ALIKE = 0.5
-
-
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors that are among each other's five most similar, with a cosine of at least 0.8."""
     near = neighbours.nearest(table(spark, folder, "file_vectors"), k=5, min_cosine=0.8)
@@ -76,8 +72,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar others of each vector, of a cosine of at least ``ALIKE``."""
-    return neighbours.nearest(table(spark, folder, "file_vectors"), k=5, min_cosine=ALIKE)
+    """The five most similar others of each vector, however low their cosine."""
+    return neighbours.exact_nearest(table(spark, folder, "file_vectors"), k=5)
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}

@@ -79,3 +79,29 @@ def test_forest_leaves_are_balanced_and_own_leaf_comes_first():
     for t in range(3):
         sizes = np.bincount(leaves[:, t] - t * 2**forest.depth, minlength=2**forest.depth)
         assert sizes.max() <= 2 * 16
+
+
+def test_exact_nearest_gives_every_vector_its_five(spark):
+    rng = np.random.default_rng(3)
+    vectors = groups(rng, 20, 3) + [(900 + n, [(int(t), 1.0 + n % 3) for t in rng.choice(400, 6, replace=False)]) for n in range(120)] + [(2000, [(9999, 1.0)]), (2001, None), (2002, [(5, 0.0)])]
+    vectors += [(3000 + i, v) for i, v in vectors[:10]]
+    for block_rows in (50, 10_000):
+        got = {}
+        for r in sorted(neighbours.exact_nearest(frame(spark, vectors), 5, block_rows=block_rows).collect(), key=lambda r: r.rank):
+            got.setdefault(r.vec_id, []).append((r.neighbour, r.cosine))
+        every = brute(vectors, 10**6, -1)
+        assert set(got) == set(every) and {len(x) for x in got.values()} == {5}
+        assert [j for j, _ in got[2000]] == [0, 1, 2, 3, 4]
+        for i, near in got.items():
+            cosine = dict(every[i])
+            assert all(abs(c - cosine[j]) < 1e-5 for j, c in near)
+            assert all(abs(c - best) < 1e-5 for (_, c), (_, best) in zip(near, every[i]))
+
+
+def test_top5_query_has_no_least_cosine(spark, sf):
+    from corpusloom.llm import plans
+    from corpusloom.sources.tables import table
+
+    some = neighbours.unit_vectors(table(spark, sf, "file_vectors")).count()
+    rows = plans.p2_top5(spark, sf)
+    assert rows.count() == 5 * some and rows.filter("cosine < 0.5").count() > 0
