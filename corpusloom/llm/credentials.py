@@ -51,14 +51,14 @@ _PUBLIC = re.compile(r"(?:sha\d+-|ssh-|ecdsa-|data:|https?:|file:|[.~]?/|\w+://|
 _HEX = re.compile(r"[0-9a-fA-F]{24,}")
 
 # A quoted literal without blanks that holds a digit, or mixes cases with other signs.
-_LITERAL = re.compile(r"""(["'`])(?=[^"'`\s]*\d|[^"'`\s]*[A-Z][^"'`\s]*[^\w"'`\s]|[^"'`\s]*[^\w"'`\s][^"'`\s]*[A-Z])([^"'`\s]{8,600})\1""")
+_LITERAL = re.compile(r"""(["'`])(?=[^"'`\s]*\d|[^"'`\s]*[A-Z][^"'`\s]*[^\w"'`\s]|[^"'`\s]*[^\w"'`\s][^"'`\s]*[A-Z])([^"'`\s]{8,})\1""")
 _JOIN = re.compile(r"""(["'`])[ \t]*(?:\\?\r?\n[ \t]*)?\+[ \t]*(?:\r?\n[ \t]*)?\1""")
 _LAST_NAME = re.compile(r"[A-Za-z_][\w-]*")
 _HELPERS = frozenset("str string String const static final private public let var val env environ process os get getenv Getenv getOrDefault unwrap_or or_else or default Some to_string char auto char8 ENV f b r u mut ref".split())
 _LOG_IN = re.compile(r"\b(?:login|log_in|logIn|signin|sign_in|signIn|connect|authenticate|auth)\s*\(\s*[^()]*,\s*$", re.I)
-_BARE = re.compile(r"(?m)^[^\n\"'`]*?(?:^|[\s#/*,;{])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,600})(?=\s|$)")
+_BARE = re.compile(r"(?m)^[^\n\"'`]*?(?:^|[\s#/*,;{])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,})(?=\s|$)")
 _COMMENT_LINE = re.compile(r"(?m)^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*$")
-_YAML_BARE = re.compile(r"(?m)^[ \t]*(?:- )?([A-Za-z_][\w-]*)[ \t]*:[ \t]+([^\s\"'`#&*!|>{\[][^\s\"'`]{7,600})[ \t]*\r?$")
+_YAML_BARE = re.compile(r"(?m)^[ \t]*(?:- )?([A-Za-z_][\w-]*)[ \t]*:[ \t]+([^\s\"'`#&*!|>{\[][^\s\"'`]{7,})[ \t]*\r?$")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
 
 
@@ -187,7 +187,10 @@ def find(text: str, bare: str = "comments", vocabulary: str = f"{TOKENIZERS}/byt
 
 
 def _bare(text: str, offset: int) -> Iterator[tuple[str, int, int]]:
-    for m in re.finditer(r"(?:^|[\s#/*,;{(])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,600})(?=\s|$)", text):
+    # a value that a quote ends is passed as a whole: any other that begins in it ends there too
+    for m in re.finditer(r"(?:^|[\s#/*,;{(])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,}+)", text):
+        if text[m.end(2) : m.end(2) + 1].strip():
+            continue
         end = m.end(2) - (m.group(2)[-1] in ".,;" and m.group(2)[-2:-1].isalnum())
         yield m.group(1), offset + m.start(2), offset + end
 
@@ -274,3 +277,19 @@ def redacted_files(files: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_5
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(k)) for k, n in enumerate(names)], names)
 
     return files.mapInArrow(blank, files.schema).select(*order)
+
+
+def redacted_rules(rules: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """``rules`` with the credentials of ``note`` and ``file`` of every evidence entry written over; all other columns, fields and rows stay."""
+
+    def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            evidence = batch.column(names.index("evidence"))
+            new = [
+                entries and [e and e | {"note": e["note"] and redact(e["note"], find(e["note"], "all", vocabulary)), "file": e["file"] and redact(e["file"], find_in_path(e["file"], vocabulary))} for e in entries]
+                for entries in evidence.to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(new, evidence.type) if n == "evidence" else batch.column(k) for k, n in enumerate(names)], names)
+
+    return rules.mapInArrow(blank, rules.schema).select(*rules.columns)

@@ -54,6 +54,11 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return credentials.redacted_files(table(spark, folder, "files")).select("file_id", "absolute_path", "content")
 
 
+def p7_redacted_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules with the credentials of their evidence written over."""
+    return credentials.redacted_rules(table(spark, folder, "rules")).select("rule_no", "evidence")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Units in clusters of at least two, by Markov clustering of their terms."""
     return clusters.cluster_units(table(spark, folder, "file_terms")).select("cluster_key", "unit_id")
@@ -76,5 +81,5 @@ def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.exact_nearest(table(spark, folder, "file_vectors"), k=5)
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p7_redacted_rules": p7_redacted_rules, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -58,3 +58,28 @@ def test_tables(spark):
     assert clean.columns == files.columns and clean.count() == 6
     assert credentials.file_credentials(clean).count() == 0
     assert credentials.found_credentials(files.limit(0), rules.limit(0)).count() == 0
+
+
+def test_redacted_rules(spark):
+    where = "https://u:7wfiotEdfXkG@h.invalid/a.py"
+    entry = "array<struct<file:string,line:int,note:string>>"
+    rows = [(7, [(None, 1, None), ("a.ts", 2, f"uses X_API_KEY: {HEX} at module level"), (where, None, "x"), None], "k"), (8, [], "k"), (9, None, "k")]
+    rules = spark.createDataFrame(rows + rows[:1], f"rule_no long, evidence {entry}, pos string")
+    clean = credentials.redacted_rules(rules)
+    assert clean.schema == rules.schema and clean.count() == 4
+    assert credentials.rule_credentials(rules).count() == 2 and credentials.rule_credentials(clean).count() == 0
+    got = {r.rule_no: r.evidence for r in clean.collect()}
+    assert got[8] == [] and got[9] is None and [tuple(e) if e else None for e in got[7]] == [(None, 1, None), ("a.ts", 2, f"uses X_API_KEY: {'x' * 40} at module level"), (where.replace("7wfiotEdfXkG", "x" * 12), None, "x"), None]
+    assert "p7_redacted_rules" in __import__("corpusloom.llm.plans", fromlist=["QUERIES"]).QUERIES
+
+
+def test_long_values():
+    import base64
+    import hashlib
+
+    long = base64.b64encode(b"".join(hashlib.sha512(bytes([n])).digest() for n in range(20))).decode()
+    assert len(long) > 1600
+    for text, bare in ((f'private_key = "{long}"\n', "comments"), (f"# private_key: {long}\n", "comments"), (f"private_key: {long}\n", "yaml"), (f"uses private_key: {long} here", "all")):
+        spans = credentials.find(text, bare)
+        assert len(spans) == 1 and long[:100] not in credentials.redact(text, spans) and long[-100:] not in credentials.redact(text, spans)
+    assert credentials.find("# " + ",secret_key=a1B" * 40_000 + "'\n") == []
