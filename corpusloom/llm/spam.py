@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BLOCK = 600
 #: A block is redundant below this share of the ratio that prose of its length and script has.
 REDUNDANT = 1.05
+#: Below this share of that ratio, a block repeats itself throughout.
+REPEATED = 0.6
 #: Share of a text's characters that must lie in spam blocks.
 MOSTLY = 0.5
 
@@ -87,11 +89,11 @@ def block_features(block: str) -> tuple[float, float, float, int]:
     words = _WORD.findall(low)
     if not words:
         return 0.0, 0.0, linked, 0
-    # prose holds its function words even without its punctuation; its redundancy need not be measured
-    if sum(map(_FUNCTION.__contains__, words)) >= 0.2 * len(words):
-        return 1.0, 1.0, linked, len(words)
     data = low.encode("utf-8", "replace")
     ratio = len(zlib.compress(data, 6)) / len(data) / prose_ratio(len(data), dense_script(text))
+    # prose holds its function words even without its punctuation; where it repeats itself throughout, a quarter of the words must be such
+    if sum(map(_FUNCTION.__contains__, words)) >= (0.2 if ratio > REPEATED else 0.25) * len(words):
+        return ratio, 1.0, linked, len(words)
     sentences = start = 0
     for m in _END.finditer(text):
         s, start = text[start : m.end()], m.end()
@@ -124,7 +126,8 @@ def spam_score(text: str | None) -> tuple[float, float, float]:
         total += size
         in_sentences += size * sentences * (1 - links)
         in_links += size * links
-        if sentences <= 0.35 and (links >= 0.5 or (ratio <= REDUNDANT and not _is_list(block))):
+        # sentences are a share of what the links leave
+        if (links >= 0.5 and sentences * (1 - links) <= 0.35) or (sentences <= 0.35 and ratio <= REDUNDANT and not _is_list(block)):
             spam += size
     return spam / total, in_sentences / total, in_links / total
 

@@ -36,3 +36,13 @@ def test_empty_table_long_text_and_majority(spark):
 def test_blocks_hold_the_whole_text():
     for text in ("", "a" * 5000, "word " * 999, "line of text\n" * 321):
         assert "".join(spam.blocks(text)) == text
+
+
+def test_links_below_a_sentence_and_keywords_with_function_words():
+    links = "These are the places that the team reads of a day.\n" + "\n".join(f"https://host{n}.invalid/{n * 7919}/page-{n * 104729}" for n in range(20))
+    keywords = "buy cheap script for download and best free kit " * 25
+    for text in (links, keywords):
+        share, sentences, _ = spam.spam_score(text)
+        assert share >= spam.MOSTLY and sentences < 0.4
+    linked = "\n".join(f"- The worker number {n} reads all of the records that it has, and then it waits for the next ones: https://h.invalid/a/b/{n * 7919}" for n in range(30))
+    assert spam.spam_score(linked)[0] == 0
