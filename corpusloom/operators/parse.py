@@ -1,6 +1,6 @@
 """Symbol spans and call sites from source contents.
 
-Python is read with its own parser; the brace languages are read over code whose
+Python is read with its own parser, and by its lines where that fails; the brace languages are read over code whose
 comments and strings are blanked, with the line patterns of ``extract`` for
 declarations and a brace count for their ends. One pass over a partition's
 contents gives both tables; nothing but the small helpers here runs in Python.
@@ -9,6 +9,7 @@ contents gives both tables; nothing but the small helpers here runs in Python.
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 import warnings
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ _OPAQUE = {
     "java": re.compile(f'{_COMMENTS}|"""(?:[^"\\\\]|\\\\.|"(?!""))*"""|{_DOUBLE}|{_SINGLE}', re.S),
     "rust": re.compile(_COMMENTS + r"""|\bb?r(#*)".*?"\1|"(?:[^"\\]|\\.)*"|'(?:[^'\\\n]|\\[^\n]{1,8})'""", re.S),
 }
+_PY_OPAQUE = re.compile(r'#[^\n]*|"""(?:[^"\\]|\\.|"(?!""))*"""|' + r"'''(?:[^'\\]|\\.|'(?!''))*'''|" + f"{_DOUBLE}|{_SINGLE}", re.S)
+_PY_CALL = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)[ \t]*\(")
+_PY_BRANCH = re.compile(r"\b(?:if|elif|for|while|except|and|or)\b|^case\b")
+_PY_BASES = re.compile(r"class\s+\w+\s*\(([^()]*)")
 _RECEIVER = re.compile(r"func\s*\(\s*\w*\s*\*?\s*(\w+)")
 _METHOD = re.compile(r"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*$")
 _CALL = re.compile(r"(?<![\w$.])(new\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*(?:<[\w, ]*>)?\(")
@@ -74,6 +79,66 @@ def python_facts(text: str) -> tuple[list[Symbol], list[Call]]:
     return symbols, calls
 
 
+def _header_parses(line: str) -> bool:
+    """Whether a declaration that ends on its line is one; of others the line cannot tell."""
+    if not line.endswith(":"):
+        return True
+    try:
+        ast.parse(f"{line} pass")
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def python_lines(text: str) -> tuple[list[Symbol], list[Call]]:
+    """Symbols and calls of Python code that does not parse, by its lines: a block ends before the next line that is indented no further.
+
+    A declaration whose own line is the broken spot is lost.
+    """
+
+    def blanked(m: re.Match[str]) -> str:
+        inside = m.group().count("\n")
+        return "" if m.group()[0] == "#" else '""' + "\n" * inside + "\0" * bool(inside)  # the mark tells that the line goes on from a string
+
+    symbols: list[Symbol] = []
+    calls: list[Call] = []
+    open_: list[list] = []  # [name, type, first line, indent, parent, branches, caller inside]
+    last = 0
+
+    def close(indent: int) -> None:
+        while open_ and indent <= open_[-1][3]:
+            name, type_, first, _, parent, branches, _ = open_.pop()
+            symbols.append((name, type_, first, last, parent, 1 if type_ == "class" else 1 + branches))
+
+    for n, line in enumerate(_PY_OPAQUE.sub(blanked, text).split("\n"), start=1):
+        goes_on, line = line.startswith("\0"), line.replace("\0", "").expandtabs()
+        bare = line.strip()
+        if not bare and not goes_on:
+            continue
+        if not goes_on and bare[0] not in ")]}":
+            close(len(line) - len(line.lstrip()))
+        last = n
+        declared = next(((m.group(1), type_) for type_, pattern in _PATTERNS["python"] if (m := pattern.match(bare)) and _header_parses(bare)), None)
+        caller = open_[-1][6] if open_ else ""
+        if declared and not goes_on:
+            name, type_ = declared
+            owner = open_[-1][0] if open_ and open_[-1][1] == "class" else None
+            own = caller if type_ == "class" else f"{owner}.{name}" if owner else name
+            if type_ == "class" and (m := _PY_BASES.match(bare)):
+                calls += [(name, base.strip()[:LONGEST_CALLEE], None, n, "extends") for base in m.group(1).split(",") if base.strip() and "=" not in base]
+            open_.append([name, "method" if owner and type_ == "function" else type_, n, len(line) - len(line.lstrip()), owner if type_ == "function" else None, 0, own])
+            caller = own
+        branches = len(_PY_BRANCH.findall(bare))
+        for o in open_:
+            o[5] += branches
+        for m in _PY_CALL.finditer(bare):
+            callee = m.group(1)[:LONGEST_CALLEE]
+            if not keyword.iskeyword(callee) and not re.search(r"\b(?:def|class)\s+$", bare[: m.start()]):
+                calls.append((caller, callee, callee.split(".")[0] if "." in callee else None, n, "call"))
+    close(-1)
+    return sorted(symbols, key=lambda s: (s[2], s[0])), calls
+
+
 def brace_facts(text: str, kind: str) -> tuple[list[Symbol], list[Call]]:
     """Symbols and calls of a brace language."""
     code = _OPAQUE[kind].sub(lambda m: ("" if m.group()[:2] in ("//", "/*") else '""') + "\n" * m.group().count("\n"), text)
@@ -138,14 +203,14 @@ def brace_facts(text: str, kind: str) -> tuple[list[Symbol], list[Call]]:
 
 
 def facts(text: str, kind: str) -> tuple[list[Symbol], list[Call], str]:
-    """Symbols, calls and the parser used; Python that does not parse falls back to nothing."""
+    """Symbols, calls and the parser used; Python that does not parse is read by its lines."""
     text = text.replace("\r\n", "\n")
     if kind != "python":
         return *brace_facts(text, kind), "braces"
     try:
         return *python_facts(text), "ast"
     except (SyntaxError, ValueError, RecursionError):
-        return [], [], "none"
+        return *python_lines(text), "regex"
 
 
 def _parsed(files: DataFrame, calls: bool, schema: str) -> DataFrame:
@@ -167,8 +232,9 @@ def _parsed(files: DataFrame, calls: bool, schema: str) -> DataFrame:
 def parsed_symbols(files: DataFrame) -> DataFrame:
     """(file_id, name, type, line, end_line, body_size, parent_symbol, complexity, parser) of each declaration.
 
-    ``files`` is ``live_files(files, "content")``. Null and empty contents, other
-    languages and Python that does not parse have none.
+    ``files`` is ``live_files(files, "content")``. Null and empty contents and other
+    languages have none. Python that does not parse is read by its lines (parser
+    ``regex``).
     """
     rows = _parsed(files, False, "file_id bigint, name string, type string, line int, end_line int, parent_symbol string, complexity int, parser string")
     return rows.withColumn("body_size", F.col("end_line") - F.col("line") + 1)

@@ -109,3 +109,14 @@ def test_parsed_facts(spark, sf):
     known = spark.read.parquet(sf.replace("0.001", "0.01") + "/symbols.parquet").filter("removed_at is null and end_line is not null and type in ('function', 'method', 'class')").distinct().collect()
     same = sum(got.get((r.file_id, r.name, r.line)) == (r.type, r.end_line) for r in known)
     assert same > 0.95 * len(known)
+
+
+def test_python_that_does_not_parse_is_read_by_its_lines():
+    from corpusloom.operators import parse
+
+    good = 'import os\n\n\nclass A(Base):\n    """Text\n    def no(): open(1)\n    """\n\n    def one(self, x):\n        if x:\n            return helper(x)\n        # run(x)\n\n    async def two(self):\n        return os.path.join("def f():", self.one(1))\n\n\ndef main():\n    def inner():\n        pass\n    A()\n    text = """a\nb\n"""\n'
+    symbols, calls, parser = parse.facts(good, "python")
+    assert parser == "ast"
+    found, sites, parser = parse.facts(good + "\nx = = 1\n", "python")
+    assert parser == "regex" and sorted(found) == sorted(symbols) and sorted(sites, key=str) == sorted(calls, key=str)
+    assert [s[0] for s in parse.facts("def a():\n    b(\n\ndef c():\n    d()\n", "python")[0]] == ["a", "c"]
