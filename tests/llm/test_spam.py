@@ -46,3 +46,22 @@ def test_links_below_a_sentence_and_keywords_with_function_words():
         assert share >= spam.MOSTLY and sentences < 0.4
     linked = "\n".join(f"- The worker number {n} reads all of the records that it has, and then it waits for the next ones: https://h.invalid/a/b/{n * 7919}" for n in range(30))
     assert spam.spam_score(linked)[0] == 0
+
+
+def test_sentences_made_of_keywords_and_function_words_around_them():
+    stuffed = "Looking for lifitogo? Lifitogo crack lifitogo starter lifitogo! Get lifitogo key, lifitogo kit and lifitogo free here! Best lifitogo theme lifitogo pro. " * 8
+    around = "the best shoes of the year and the best of the boots " * 15
+    for text in (stuffed, around, "By default, the queue keeps the oldest entry.\n\n" + stuffed):
+        share, sentences, _ = spam.spam_score(text)
+        assert share >= spam.MOSTLY and sentences < 0.4
+    for text in ("Das Modul liest die Konfiguration beim Start und prüft jede Zeile. " * 20, "モジュール bozepaku は起動時に設定を読み込みます。\n" * 20, "The cache keeps every page. The cache drops the page that nobody reads, and then it frees its lock. " * 12):
+        assert spam.spam_score(text)[0] == 0
+
+
+def test_usual_ratio_is_the_median_of_all_blocks_of_a_language(spark):
+    rows = [(n, PROSE * 5, "en") for n in range(200)] + [(1000 + n, SPAM[1], "EN") for n in range(3)]
+    pages = spam.page_blocks(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    usual = {(r.lang, r.dense): r.usual for r in spam.usual_ratios(pages).collect()}
+    ratio = next(spam.block_features(PROSE * 5))[2]
+    assert set(usual) == {("en", False)} and abs(usual["en", False] - max(spam.USUAL[0], (ratio * 209 + 50) / 259)) < 0.15
+    assert spam.block_ratio(SPAM[1], False) < 0.5 < spam.block_ratio(PROSE, False)
