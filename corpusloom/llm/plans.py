@@ -67,7 +67,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Each cluster with its size, cohesion, most typical terms and members."""
     units = table(spark, folder, "file_terms")
-    return clusters.describe_clusters(clusters.cluster_units(units), units)
+    return clusters.describe_clusters(clusters.cluster_units(units, flows=True), units)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
