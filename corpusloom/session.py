@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,23 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` as a table into the shared checkpoint folder and read it back: lineage is cut and its size is known.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests, a new local folder is used.
+    Unlike the estimates that a checkpoint inherits, the size of a written table
+    does not grow from round to round of a loop. The folder is the session's
+    ``spark.checkpoint.dir``; only local sessions, as in tests, may leave it unset.
     """
-    sc = df.sparkSession.sparkContext
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application; a new local one where none is set and the session is local."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
