@@ -5,9 +5,13 @@ by hashed random signs, so that no projection table depends on the terms. Each
 tree halves a bounded sample at the median of a random direction between two of
 its points; the planes of all trees are a few MB whatever the number of rows. A
 vector is a member of one leaf in each tree, and as a query it visits further
-leaves, chosen over all trees by one priority queue of margins. Members and
-visitors meet at their leaf, where the cosines are computed exactly and the best
-are kept. Copies are one vector in all of this.
+leaves, chosen over all trees by one priority queue of margins. Where the rows
+are more than these leaves hold, every leaf is split again by planes of its own,
+fitted on a bounded sample of its members; those planes are a table that meets
+the rows at their leaf, pass after pass, until a leaf holds ``LEAF_ROWS`` rows. So
+the work of a row stays the same however many there are. Members and visitors
+meet at their leaf, where the cosines are computed exactly and the best are kept.
+Copies are one vector in all of this.
 """
 
 from __future__ import annotations
@@ -32,7 +36,14 @@ TREES = 8
 VISITS = 20
 #: Sample rows in a leaf.
 LEAF_SAMPLE = 16
-#: Members of a block; larger leaves are cut into blocks that all visitors of the leaf pass.
+#: Rows that a leaf holds on average at most; further levels are fitted on so many sample rows for each of their leaves.
+LEAF_ROWS = 64
+SPLIT_SAMPLE = 8
+#: Levels that one more pass adds at most.
+SPLIT_LEVELS = 6
+#: Steps of a projected number where it travels with its row, in one byte.
+STEPS = 24
+#: Members of a block; a larger leaf is compared block by block.
 BLOCK_ROWS = 2048
 #: Rows that visit leaves in a partition.
 VISITS_PER_PARTITION = 400_000
@@ -73,10 +84,10 @@ class Forest(NamedTuple):
     depth: int
 
     @classmethod
-    def fit(cls, points: np.ndarray, trees: int = TREES, leaf: int = LEAF_SAMPLE, seed: int = 0) -> Forest:
-        """Split a sample at medians until a leaf holds ``leaf`` of its rows."""
+    def fit(cls, points: np.ndarray, trees: int = TREES, leaf: int = LEAF_SAMPLE, seed: int = 0, depth: int | None = None) -> Forest:
+        """Split a sample at medians until a leaf holds ``leaf`` of its rows, or to ``depth``."""
         rng = np.random.default_rng(seed)
-        depth = max(0, int(np.ceil(np.log2(max(len(points), 1) / leaf))))
+        depth = max(0, int(np.ceil(np.log2(max(len(points), 1) / leaf)))) if depth is None else depth
         nodes, dims = 2**depth - 1, points.shape[1]
         planes = np.zeros((trees, nodes, dims), dtype=np.float32)
         thresholds = np.zeros((trees, nodes), dtype=np.float32)
@@ -209,7 +220,7 @@ def _best_at_leaf(members: tuple, queries: tuple, k: int, least: float) -> list[
 
 def nearest(
     vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, id_col: str = "vec_id", vector_col: str = "vector",
-    trees: int = TREES, visits: int = VISITS, sample: int = SAMPLE, leaf: int = LEAF_SAMPLE, block_rows: int = BLOCK_ROWS, seed: int = 0,
+    trees: int = TREES, visits: int = VISITS, sample: int = SAMPLE, leaf: int = LEAF_SAMPLE, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS, seed: int = 0,
 ) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): for every vector its ``k`` most similar others of at least ``min_cosine``.
 
@@ -219,28 +230,19 @@ def nearest(
     """
     copies, reps = _classes(vectors, id_col, vector_col)
     forest, rows = _fit(reps, sample, trees, leaf, seed)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                piece = batch.slice(start, 2048)
-                offsets, terms = _sparse(piece.column(1))
-                leaves = own.visit(project(terms, _sparse(piece.column(2))[1], offsets), visits)
-                many = leaves.shape[1]
-                take = pa.array(np.repeat(np.arange(piece.num_rows), many))
-                query = np.tile(np.arange(many) >= len(own.planes), piece.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), pa.array(query), *(c.take(take) for c in piece.columns)], ["leaf", "query", "copy", "terms", "weights"])
-
-    visited = reps.select("copy", "terms", "weights").mapInArrow(visit, "leaf int, query boolean, copy bigint, terms array<bigint>, weights array<float>")
-    # medians of the sample bound a leaf's share of all rows; leaves beyond a block are cut into blocks that its visitors all pass
-    parts = max(1, -(-rows * 2 * leaf // max(sample, 1) // block_rows)) if rows > sample else max(1, -(-2 * leaf // block_rows))
-    own = F.array(F.struct(F.pmod(F.xxhash64("copy"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks")))
-    asks = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(True).alias("asks")) for k in range(parts)])
-    turns = F.when(F.col("query"), asks).otherwise(own if parts == 1 else F.concat(own, asks))
-    met = visited.select("leaf", "copy", "terms", "weights", F.explode(turns).alias("turn")).select("leaf", "turn.part", F.col("turn.asks").alias("query"), "copy", "terms", "weights")
-    met = met.repartition(max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * visits * parts // VISITS_PER_PARTITION), "leaf", "part").sortWithinPartitions("leaf", "part", "query")
+    levels = _levels(rows, forest.depth, leaf_rows)
+    visited = _visited(reps, forest, visits, bool(levels))
+    if levels:
+        # a sample of members, each at its own leaf of every tree, follows the rows down and is split before them
+        share = min(1.0, 1.25 * SPLIT_SAMPLE * 2 ** (forest.depth + sum(levels)) / max(rows, 1))
+        members = durable(_visited(reps.sample(share, seed=seed), forest, trees, True).select("leaf", "query", "copy", "point"))
+        for turn, depth in enumerate(levels, start=1):
+            planes = durable(_split_planes(members, depth, seed + turn))
+            visited = _descended(visited, planes, depth, 2, rows * visits)
+            if turn < len(levels):
+                members = durable(_descended(members, planes, depth, 1, rows))
+        visited = visited.drop("point")
+    met = visited.repartition(_parts(vectors, rows * visits), "leaf").sortWithinPartitions("leaf", "query")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, asked = None, [], []
@@ -271,14 +273,14 @@ def nearest(
 
         first = True
         for batch in batches:
-            leaf_, part_, query_ = (batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in ("leaf", "part", "query"))
-            change = np.flatnonzero((leaf_[1:] != leaf_[:-1]) | (part_[1:] != part_[:-1]) | (query_[1:] != query_[:-1])) + 1
+            leaf_, query_ = (batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in ("leaf", "query"))
+            change = np.flatnonzero((leaf_[1:] != leaf_[:-1]) | (query_[1:] != query_[:-1])) + 1
             for start, end in zip([0, *change], [*change, batch.num_rows]):
                 if start == end:
                     continue
-                if key != (leaf_[start], part_[start]):
+                if key != leaf_[start]:
                     yield from results(first)
-                    key, members, asked, first = (leaf_[start], part_[start]), [], [], True
+                    key, members, asked, first = leaf_[start], [], [], True
                 (asked if query_[start] else members).append(batch.slice(start, end - start))
                 if members and sum(x.num_rows for x in asked) > 4 * block_rows:
                     yield from results(first)
@@ -290,6 +292,104 @@ def nearest(
     return _listed(best, copies, k, id_col).filter(F.col("cosine") >= min_cosine)
 
 
+def _parts(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // VISITS_PER_PARTITION)
+
+
+def _levels(rows: int, depth: int, leaf_rows: int) -> list[int]:
+    """The levels of each further pass, so that a leaf of all rows holds ``leaf_rows`` on average at most."""
+    more = max(0, int(np.ceil(np.log2(max(rows, 1) / leaf_rows))) - depth)
+    return [min(SPLIT_LEVELS, more - k) for k in range(0, more, SPLIT_LEVELS)]
+
+
+def _visited(reps: DataFrame, forest: Forest, visits: int, pointed: bool) -> DataFrame:
+    """(leaf, query, copy, terms, weights): each vector at its own leaves, and as a query at the others that it visits; with ``pointed`` also its projection ``point``."""
+    shared = reps.sparkSession.sparkContext.broadcast(tuple(forest))  # plain arrays, which executors read without the package
+    names = ["leaf", "query", "copy", "terms", "weights"]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Forest(*shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                piece = batch.slice(start, 2048)
+                offsets, terms = _sparse(piece.column(1))
+                points = project(terms, _sparse(piece.column(2))[1], offsets)
+                leaves = own.visit(points, visits)
+                many = leaves.shape[1]
+                take = pa.array(np.repeat(np.arange(piece.num_rows), many))
+                query = np.tile(np.arange(many) >= len(own.planes), piece.num_rows)
+                columns = [pa.array(leaves.ravel().astype(np.int64)), pa.array(query), *(c.take(take) for c in piece.columns)]
+                if pointed:
+                    columns.append(_bytes(points).take(take))
+                yield pa.RecordBatch.from_arrays(columns, names + ["point"] * pointed)
+
+    return reps.select("copy", "terms", "weights").mapInArrow(visit, "leaf bigint, query boolean, copy bigint, terms array<bigint>, weights array<float>" + ", point binary" * pointed)
+
+
+def _bytes(points: np.ndarray) -> pa.Array:
+    small = np.clip(np.rint(points * STEPS), -127, 127).astype(np.int8)
+    return pa.Array.from_buffers(pa.binary(), len(small), [None, pa.py_buffer((np.arange(len(small) + 1) * small.shape[1]).astype(np.int32)), pa.py_buffer(small.tobytes())])
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1).astype(np.float32) / STEPS
+
+
+def _split_planes(members: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(leaf, planes, thresholds): a tree of ``depth`` levels for each leaf, fitted on its members, of which a leaf with more than its share takes the first in the order of a hash."""
+    cap = 4 * SPLIT_SAMPLE * 2**depth
+    order = Window.partitionBy("leaf").orderBy(F.xxhash64("copy", F.lit(seed)))
+    few = members.filter("not query").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap)
+
+    def fit(group: pa.Table) -> pa.Table:
+        leaf = group["leaf"][0].as_py()
+        tree = Forest.fit(_points(group["point"].combine_chunks()), 1, SPLIT_SAMPLE, seed + leaf, depth)
+        return pa.table({"leaf": [leaf], "planes": [tree.planes.tobytes()], "thresholds": [tree.thresholds.tobytes()]})
+
+    return few.select("leaf", "point").groupBy("leaf").applyInArrow(fit, "leaf bigint, planes binary, thresholds binary")
+
+
+def _descended(visited: DataFrame, planes: DataFrame, depth: int, visits: int, rows: int) -> DataFrame:
+    """``visited`` with each leaf split in 2**depth by its planes: a member goes to its own part and asks the next ones by margin, ``visits`` in all; a query asks its own part."""
+    order = visited.columns
+    kinds = {f.name: f.dataType for f in visited.schema}
+    trees = planes.select("leaf", F.lit(0).alias("turn"), *[F.lit(None).cast(kinds[c]).alias(c) for c in order if c != "leaf"], "planes", "thresholds")
+    both = trees.unionByName(visited.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    met = both.repartition(_parts(visited, rows), "leaf").sortWithinPartitions("leaf", "turn")
+
+    def split(piece: pa.RecordBatch, tree: Forest | None, leaf: int) -> pa.RecordBatch:
+        query = piece.column(order.index("query")).to_numpy(zero_copy_only=False).astype(bool)
+        if tree is None:  # none of its members is in the sample
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(query), leaf << depth)) if n == "leaf" else c for n, c in zip(order, piece.columns)], order)
+        parts = tree.visit(_points(piece.column(order.index("point"))), visits)
+        row, nth = np.nonzero((np.arange(parts.shape[1]) == 0) | ~query[:, None])
+        take = pa.array(row)
+        new = {"leaf": pa.array((leaf << depth) + parts[row, nth].astype(np.int64)), "query": pa.array(query[row] | (nth > 0))}
+        return pa.RecordBatch.from_arrays([new[n] if n in new else c.take(take) for n, c in zip(order, piece.columns)], order)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree = None, None
+        for batch in batches:
+            names = batch.schema.names
+            leaf, turn = (batch.column(names.index(n)).to_numpy(zero_copy_only=False) for n in ("leaf", "turn"))
+            planes_, thresholds_ = (batch.column(names.index(n)) for n in ("planes", "thresholds"))
+            piece = batch.select(order)
+            change = np.flatnonzero(leaf[1:] != leaf[:-1]) + 1
+            for start, end in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if start == end:
+                    continue
+                if key != leaf[start]:
+                    key, tree = int(leaf[start]), None
+                if turn[start] == 0:
+                    thresholds = np.frombuffer(thresholds_[start].as_py(), dtype=np.float32)
+                    tree = Forest(np.frombuffer(planes_[start].as_py(), dtype=np.float32).reshape(1, len(thresholds), -1), thresholds.reshape(1, -1), depth)
+                    start += 1
+                if start < end:
+                    yield split(piece.slice(start, end - start), tree, key)
+
+    return met.mapInArrow(descend, visited.schema)
+
+
 def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """(copy, vec_id) of all vectors, and one representative (copy, vec_id, terms, weights) of each class of copies."""
     units = durable(unit_vectors(vectors, id_col, vector_col))

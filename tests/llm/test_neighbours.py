@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 
 from corpusloom.llm import neighbours
@@ -105,3 +110,35 @@ def test_top5_query_has_no_least_cosine(spark, sf):
     some = neighbours.unit_vectors(table(spark, sf, "file_vectors")).count()
     rows = plans.p2_top5(spark, sf)
     assert rows.count() == 5 * some and rows.filter("cosine < 0.5").count() > 0
+
+
+def test_leaves_split_again_keep_recall(spark, monkeypatch):
+    vectors = groups(np.random.default_rng(4), 150, 4)
+    want = brute(vectors, 5, 0.5)
+    for levels in (6, 2):  # in one pass, and in several
+        monkeypatch.setattr(neighbours, "SPLIT_LEVELS", levels)
+        assert len(neighbours._levels(600, 2, 8)) == (1 if levels == 6 else 3)
+        rows = neighbours.nearest(frame(spark, vectors), 5, 0.5, sample=64, leaf_rows=8).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.vec_id, set()).add(r.neighbour)
+        assert sum(j in got.get(i, ()) for i, near in want.items() for j, _ in near) >= 0.95 * sum(map(len, want.values()))
+    assert neighbours._levels(10**4, 11, 64) == [] and sum(neighbours._levels(10**9, 11, 64)) == 13
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path, sf):
+    """Workers started elsewhere, without the package on their path, run the functions as they are sent to them."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from corpusloom.session import local_session
+from corpusloom.llm import plans
+spark = local_session(4, "4g")
+for name in ("p2_found", "p4_found", "p7_found", "p9_found", "p10_found"):
+    assert plans.QUERIES[name](spark, {sf!r}).count() >= 0, name
+spark.stop()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert "all ran" in done.stdout, done.stderr[-2000:]
