@@ -1,12 +1,13 @@
 """Source files that do not parse.
 
 Each language has its own lexer: one pattern finds the next opaque piece (a
-comment, a string, a character, a regular expression) or what cannot be finished
-as one, and the text between goes to a pushdown stack of delimiters. What is left
-of the code, with opaque pieces blanked, is then held against the language's
-rules for neighbouring tokens, for block headers and indentation, for the end of
-the file, and against merge-conflict and patch marks. The first fault found is
-reported with its line.
+comment, a string, a character, a regular expression, an element of JSX) or what
+cannot be finished as one, and the text between goes to a pushdown stack of
+delimiters. What is left of the code is read as classes of tokens: which class
+may follow which, which may begin or end a statement, and what the delimiter on
+top of the stack allows before it closes. Block headers, indentation, the end of
+the file and merge-conflict and patch marks have rules of their own. The first
+fault found is reported with its line.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ LANGUAGES = {
 }
 
 # Words after which, or before which, another word may stand.
-PYTHON_WORDS = frozenset(
-    "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type print".split()
-)
 SCRIPT_WORDS = frozenset(
     "abstract any as asserts async await break case catch class const continue debugger declare default delete do else enum export extends finally for from function get if implements import in infer instanceof interface is keyof let module namespace new of out override package private protected public readonly require return satisfies set static super switch throw try type typeof unique using var void while with yield".split()
 )
@@ -47,7 +45,6 @@ ALIEN = {
     "rust": "def|elif|func|function|class|public|private|protected|import|package|export|var|void|from|interface",
     "typescript": "def|elif|func|fn|use|impl|struct|pub|trait|package|fun",
     "javascript": "def|elif|func|fn|use|impl|struct|pub|trait|package|fun|interface|public|private|protected",
-    "python": "function|func|fn|const|let|var|use|impl|struct|pub|public|private|package|export|interface|trait|fun",
 }
 
 _OPEN = {"(": ")", "[": "]", "{": "}"}
@@ -60,7 +57,7 @@ _NUMBER_WORD = re.compile(r"(?<![\w.\"'$#])\d[\w.]*[ \t]+(?=[A-Za-z_$\x02])([A-Z
 _WORDS = re.compile(r"(?<![\w.$@#'])([A-Za-z_$][\w$]*)[ \t]+(?=[A-Za-z_$\x02])([A-Za-z_$][\w$]*)?")
 _THREE = re.compile(r"(?<![\w.$@'])([A-Za-z_$][\w$]*)(?=[ \t]+([A-Za-z_$][\w$]*)[ \t]+([A-Za-z_$][\w$]*))|(?m:^)[ \t]*(\.\.\.)[ \t]*\w")
 _DANGLING = re.compile(r"(?<![+\-*/.=<>!&|?])(?:[+\-/%&|^]|[=<>!+\-*/%&|^]=|=|&&|\|\||,[ \t\r\n]*,)[ \t\r\n]*[)\]};]")
-_LEADING = re.compile(r"(?:^|[;{}])\s*\n[ \t]*(?:>(?=[\s\w])|[=)\]%^|](?![=>|}])|\+(?=\s*(?:\}|import|export|const|let|var|return|func|package|public|private|use|fn|pub|if|for|type|class)\b))")
+_LEADING = re.compile(r"(?:^|[;{}])\s*\n[ \t]*(?:>(?=[\s\w])|[=%^|](?![=>|}])|\+(?=\s*(?:\}|import|export|const|let|var|return|func|package|public|private|use|fn|pub|if|for|type|class)\b))")
 _TAIL = re.compile(r"(?:[=+\-*/%&|^<!?:,.(\[{@\\]|=>|->|\b(?:function|class|const|let|var|def|func|fn|import|from|new|extends|implements|interface|package|pub|use|struct|impl|enum|type|public|private|protected|static|final|async|export|if|else|for|while|in|of|and|or|not|is|lambda|with|as))\s*\Z")
 
 _BLOCK = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
@@ -74,7 +71,9 @@ def _lexer(comments: str, strings: str, bad: str) -> re.Pattern[str]:
 
 _TRIPLE = r"'''(?:[^'\\]|\\.|'(?!''))*'''|" + r'"""(?:[^"\\]|\\.|"(?!""))*"""'
 _SCRIPT = _lexer(rf"//[^\n]*|{_BLOCK}|\A#![^\n]*", rf"{_DOUBLE}|{_SINGLE}|`(?:[^`\\$]|\\.|\$(?!\{{))*`|`|/(?!\*)", r"/\*|[\"']")
+_JSX = re.compile(_SCRIPT.pattern.replace("|/(?!\\*))", "|/(?!\\*)|<(?=[A-Za-z>]))"), re.S)
 LEXERS = {
+    "jsx": _JSX,
     "python": _lexer(r"\#[^\n]*", rf"\b[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_DOUBLE}|{_SINGLE})|{_TRIPLE}|{_DOUBLE}|{_SINGLE}", r"[\"']"),
     "javascript": _SCRIPT,
     "typescript": _SCRIPT,
@@ -125,9 +124,97 @@ def _rust_comment_end(text: str, at: int) -> int:
     return at
 
 
-def blank(text: str, language: str) -> str:
-    """The code with comments blanked and each string as one mark, line breaks kept; raises on a piece without end."""
-    search, out, at = LEXERS[language].search, [], 0
+_JSX_TAG = re.compile(r"<(/?)([\w.:-]*)")
+_JSX_INSIDE = re.compile(rf"(/?>)|(\{{)|{_DOUBLE.replace('[^', '[^', 1)}|\"[^\"]*\"|'[^']*'|{_BLOCK}|<", re.S)
+_JSX_CODE = re.compile(rf"[{{}}`]|//[^\n]*|{_BLOCK}|{_DOUBLE}|{_SINGLE}|<(?=[A-Za-z>])", re.S)
+
+
+def _jsx_code_end(text: str, at: int) -> int:
+    """Offset after the brace that closes the code whose inside begins at ``at``."""
+    depth = 1
+    while m := _JSX_CODE.search(text, at):
+        start, at, c = m.start(), m.end(), m.group()
+        if c == "`":
+            at = _template_end(text, at)
+        elif c == "<":
+            if _REGEX_BEFORE.search(text[max(0, start - 80) : start]):
+                at = _jsx_end(text, start)
+        else:
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            if not depth:
+                return at
+    raise Fault("premature end", at)
+
+
+def _jsx_end(text: str, start: int) -> int:
+    """Offset after the element that begins at ``start``; its open tags are a stack."""
+    tags: list[str] = []
+    at = start
+    while True:
+        tag = _JSX_TAG.match(text, at)
+        at = tag.end()
+        closing, name = tag.groups()
+        if closing and (not tags or tags.pop() != name):
+            raise Fault("unbalanced delimiter", tag.start())
+        while True:  # attributes
+            m = _JSX_INSIDE.search(text, at)
+            if not m or m.group() == "<":
+                raise Fault("premature end", tag.start())
+            at = m.end()
+            if m.group(2):
+                at = _jsx_code_end(text, at)
+            elif m.group(1):
+                break
+        if not closing and m.group(1) == ">":
+            tags.append(name)
+        while tags:  # the text of the innermost element, in which quotes are no delimiters
+            nearest = [k for k in (text.find("<", at), text.find("{", at)) if k >= 0]
+            if not nearest:
+                raise Fault("premature end", start)
+            at = min(nearest)
+            if text[at] == "<":
+                break
+            at = _jsx_code_end(text, at + 1)
+        if not tags:
+            return at
+
+
+_FORMATTED = re.compile(r"[rRbBuU]?[fFtT][rRbB]?(\"\"\"|'''|[\"'])")
+_FIELD = re.compile(r"\{\{|\}\}|\{|\\.", re.S)
+_IN_FIELD = re.compile(rf"[{{}}\[\]()]|\b[rRbBuUfFtT]{{0,2}}(?:{_TRIPLE}|{_DOUBLE}|{_SINGLE})|{_TRIPLE}|{_DOUBLE}|{_SINGLE}", re.S)
+
+
+def _formatted_end(text: str, start: int) -> int:
+    """Offset after the formatted string at ``start``, whose fields may hold strings of the same quotes; -1 if it has no end."""
+    opening = _FORMATTED.match(text, start)
+    quote, at, depth = opening.group(1), opening.end(), 0
+    while True:
+        if not depth:
+            stop = text.find(quote, at)
+            m = _FIELD.search(text, at)
+            if stop < 0 or (len(quote) == 1 and "\n" in text[at:stop].replace("\\\n", "") and not (m and m.start() < stop)):
+                return -1
+            if not m or stop < m.start():
+                return stop + len(quote)
+            depth, at = int(m.group() == "{"), m.end()
+        else:
+            m = _IN_FIELD.search(text, at)
+            if not m:
+                return -1
+            c, at = m.group(), m.end()
+            if c[0] in "fFtTrRbB" and _FORMATTED.match(c):
+                at = _formatted_end(text, m.start())
+                if at < 0:
+                    return -1
+            depth += 1 if c in _OPEN else -1 if c in ")]}" else 0
+
+
+def blank(text: str, language: str, jsx: bool = False) -> str:
+    """The code with comments blanked and each string as one mark, line breaks kept; raises on a piece without end.
+
+    The lines of a string in Python are joined, as it does not end its statement.
+    """
+    search, out, at = LEXERS["jsx" if jsx else language].search, [], 0
     script = language in ("javascript", "typescript")
     while m := search(text, at):
         start, end, kind = m.start(), m.end(), m.lastgroup
@@ -137,50 +224,63 @@ def blank(text: str, language: str) -> str:
                 end, kind = _rust_comment_end(text, end), "c"
             else:
                 raise Fault("unterminated comment" if piece == "/*" else "unterminated literal", start)
+        elif language == "python" and kind == "s" and _FORMATTED.match(piece):
+            end = _formatted_end(text, start)
+            if end < 0:
+                raise Fault("unterminated literal", start)
         elif script and piece == "`":
             end = _template_end(text, end)
-        elif script and piece == "/":
+        elif script and piece in ("/", "<"):
             before = text[at:start] or (out[-1] if out else "")
-            found = _REGEX.match(text, start) if _REGEX_BEFORE.search(before) else None
-            if not found:
+            found = _REGEX_BEFORE.search(before)
+            if found and piece == "<" and not re.match(r"<\w+(?:,|\s+extends\b)", text[start : start + 80]):
+                end = _jsx_end(text, start)
+            elif found and piece == "/" and (literal := _REGEX.match(text, start)):
+                end = literal.end()
+            else:
                 out.append(text[at:end])
                 at = end
                 continue
-            end = found.end()
         out.append(text[at:start])
-        breaks = "\n" * text.count("\n", start, end)
+        breaks = text.count("\n", start, end)
         if kind == "c":
-            out.append(breaks or " ")
+            out.append("\n" * breaks or " ")
         elif language == "rust" and piece[0] == "'" and piece[-1] != "'":
             out.append(" ")  # a lifetime
         else:
-            out.append("\x02" + breaks)
+            out.append("\x02" + ("\\\n" if language == "python" else "\n") * breaks)
         at = end
     out.append(text[at:])
     return "".join(out)
 
 
-def _balance(code: str) -> None:
+def _balance(code: str) -> dict[int, int]:
+    """The offset of the opening delimiter of each closing one; raises where they do not match."""
     stack: list[tuple[str, int]] = []
+    opened = {}
     for m in _BRACKET.finditer(code):
         c = m.group()
         if c in _OPEN:
             stack.append((_OPEN[c], m.start()))
-        elif not stack or stack.pop()[0] != c:
-            raise Fault("unbalanced delimiter", m.start())
+        else:
+            want, at = stack.pop() if stack else ("", 0)
+            if want != c:
+                raise Fault("unbalanced delimiter", m.start())
+            opened[m.start()] = at
     if stack:
         raise Fault("premature end", stack[-1][1])
+    return opened
 
 
 def _neighbours(code: str, language: str) -> None:
-    words = {"python": PYTHON_WORDS, "rust": RUST_WORDS}.get(language, SCRIPT_WORDS)
+    words = RUST_WORDS if language == "rust" else SCRIPT_WORDS
     for m in _NUMBER_WORD.finditer(code):
         if m.group(1) not in INFIX:
             raise Fault("misplaced token", m.start())
-    if language in ("python", "javascript", "typescript", "rust"):
+    if language in ("javascript", "typescript", "rust"):
         for m in _WORDS.finditer(code):
             first, second = m.group(1), m.group(2)
-            if first not in words and second not in words and not (second is None and language == "python" and len(first) <= 2):
+            if first not in words and second not in words:
                 raise Fault("misplaced token", m.start())
     if language in ("java", "go"):
         for m in _THREE.finditer(code):
@@ -188,69 +288,164 @@ def _neighbours(code: str, language: str) -> None:
                 raise Fault("misplaced token", m.start())
     if m := re.search(rf"(?m)^[ \t]*(?:{ALIEN[language]})[ \t]+[A-Za-z_{{*]", code):
         raise Fault("another language", m.start())
-    if language != "python":
-        if m := _DANGLING.search(code):
-            if not (language == "rust" and "|" in m.group()) and not (language == "typescript" and m.group()[0] in "|&"):
-                raise Fault("misplaced token", m.start())
-        if m := _LEADING.search(code):
-            raise Fault("misplaced token", m.end())
+    if m := _DANGLING.search(code):
+        if not (language == "rust" and "|" in m.group()) and not (language == "typescript" and m.group()[0] in "|&"):
+            raise Fault("misplaced token", m.start())
+    if m := _LEADING.search(code):
+        raise Fault("misplaced token", m.end())
+    if m := _UNNAMED[language].search(code) or _TWICE.search(code):
+        raise Fault("misplaced token", m.start())
     if m := _TAIL.search(code):
         raise Fault("premature end", m.start())
 
 
+# Words of Python by the class of token that they are; all other words are operands.
+_PYTHON_CLASS = {
+    "if": "I", "else": "E", "for": "F", "in": "N", "is": "S", "and": "A", "or": "A", "not": "T", "lambda": "L", "await": "W", "yield": "Y", "from": "f", "async": "y", "as": "x", "import": "m",
+    "def": "K", "class": "K", "elif": "K", "while": "K", "with": "K", "try": "K", "except": "K", "finally": "K", "return": "K", "global": "K", "nonlocal": "K", "del": "K", "assert": "K", "raise": "K",
+    "pass": "K", "break": "K", "continue": "K", "*": "*", "**": "*", "+": "-", "-": "-", "~": "~", "@": "@", "/": "/", "->": ">", ":=": "w", "=": "=", "...": "0", "\x02": "s", "<>": "?",
+    "//": "b", "%": "b", "<<": "b", ">>": "b", "&": "b", "|": "b", "^": "b", "<": "b", ">": "b", "==": "b", "!=": "b", "<=": "b", ">=": "b",
+}
+_PYTHON_TOKEN = re.compile(
+    r"[^\W\d]\w*|0[xXoObB][0-9a-fA-F_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?|\.\.\.|->|:=|<>|(?:\*\*|//|<<|>>|[-+*/%@&|^=!<>])=|\*\*|//|<<|>>|[^\s\\]"
+)
+#: What may not follow what: a second operand, an operator without one of its operands, a keyword inside an expression.
+_PYTHON_PAIR = re.compile(
+    r"[a0)\]}][a0s{~LWYK]|s[a0{~LWYK]|[a0s)\]}](?:T(?!N)|y(?!F))"
+    r"|[b~=gwAISEFNW@.-](?=[])},;bgw=AISEFNKxfm/]|$|:)(?<!^E)(?<!^yF)|[*/](?=[]};bgw=AISENKxfm]|$)|[(\[{](?=[,bgw=AISENxKm.])|,(?=[,bgwAISExKm.])|[({](?=[:F])|:[bgw=AS.]|[(\[{:,][>?]|\.(?!a)|(?<![a0s)\]}])\.|[a)\]}s]\[\]|KK|T(?=[])},;bgwASEFK:]|$)|L(?=[])},;bgw=AISENK]|$)|\?|!|\$|`"
+)
+_PYTHON_START = re.compile(r"[bgw=ASN.,:)\]}/x>]")
+_PYTHON_END = re.compile(r"[-b~=gwATISFN@.*/Lxfm(\[{>]$")
 _COMPOUND = re.compile(r"(?:async[ \t]+)?(def|class|if|elif|else|for|while|with|try|except|finally)\b")
-_SIMPLE_BAD = re.compile(r"(?:else|try|finally)\b[ \t]*[^:\s]|\bdef[ \t]+\w+[ \t]*[^(\[\s\w\x03]|[;{}][ \t]*\Z|^(?:\+\+|--|//|/\*|\*/|\}|\$|!|\?|>|<|=|\)|&|\|)|\w[ \t]*(?:\+\+|--)[ \t]*\Z|&&|\|\||[^=!<>:]=[ \t]*\Z|\?|\$|!(?!=)|===")
+_DEF = re.compile(r"(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\x03[ \t]*)?\x03[ \t]*(?:->[^:]+)?:")
+_CLASS = re.compile(r"class[ \t]+\w+[ \t]*(?:\x03[ \t]*){0,2}:")
+_SOFT = re.compile(r"(?:match|case|type)\b[ \t]*(?=[\w\x02(\[{*.-])(?!(?:in|is|and|or|if|else|not)\b)")
+
+
+def _class(token: str) -> str:
+    first = _PYTHON_CLASS.get(token)
+    if first is None:
+        first = "0" if token[0].isdigit() or (token[0] == "." and len(token) > 1) else "a" if token[0].isalpha() or token[0] == "_" else "g" if token[-1] == "=" else token
+    return first
+
+
+def _folded(line: str) -> str:
+    """The line with one mark for each outermost pair of brackets and what it holds."""
+    out, depth, at = [], 0, 0
+    for m in _BRACKET.finditer(line):
+        if m.group() in _OPEN:
+            if not depth:
+                out += line[at : m.start()], "\x03"
+            depth += 1
+        else:
+            depth -= 1
+            if not depth:
+                at = m.end()
+    return "".join([*out, line[at:]])
+
+
+# The heads that a clause of a compound statement may follow.
+_AFTER = {
+    "elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except"), "except": ("try", "except"), "finally": ("try", "except", "else"),
+}
+
+
+def _python_statement(line: str, start: int, heads: list[str]) -> bool:
+    """Hold a logical line against the rules; whether it opens a block. ``heads`` has the last statement's head of each open block."""
+    flat = _folded(line)
+    compound = _COMPOUND.match(flat)
+    soft = _SOFT.match(line) and (flat.endswith(":") or line.startswith("type") and "=" in flat)
+    classes = "".join(map(_class, _PYTHON_TOKEN.findall(line[_SOFT.match(line).end() :] if soft else line)))
+    imports = classes[:1] in ("m", "f")
+    if imports:
+        _follows("", start, heads)
+        if not re.match(r"import[ \t]+[\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*[ \t]*(?:;|$)|from[ \t]*[\w. \t]+[ \t]import[ \t]*[\w(*]|from[ \t]*\.+[ \t]*import[ \t]*[\w(*]", line):
+            raise Fault("misplaced token", start)
+        return False
+    _follows(compound.group(1) if compound else "", start, heads)
+    if compound and ":" not in flat:
+        raise Fault("missing colon", start)
+    if compound and (compound.group(1) == "def" and not _DEF.match(flat) or compound.group(1) == "class" and not _CLASS.match(flat)):
+        raise Fault("bad header", start)
+    if _PYTHON_START.match(classes) or _PYTHON_PAIR.search(classes) or (_PYTHON_END.search(classes) and classes not in ("Y",)):
+        raise Fault("misplaced token", start)
+    opens = flat.endswith(":")
+    if opens and not compound and not soft:
+        raise Fault("misplaced token", start)
+    return opens
+
+
+def _follows(head: str, start: int, heads: list[str]) -> None:
+    """Hold the head of a statement against the statement before it in the same block, and take its place."""
+    before = heads[-1]
+    if head in _AFTER and before not in _AFTER[head] or before == "try" and head not in ("except", "finally"):
+        raise Fault("missing block", start)
+    heads[-1] = head
 
 
 def _python_lines(code: str) -> None:
-    """Indentation stack, block headers and line ends of Python code."""
-    indents, header, depth, at, joined, logical = [0], False, 0, 0, False, ""
-    started = 0
+    """Indentation stack, block headers and statements of Python code."""
+    indents, header, depth, at, joined = [0], False, 0, 0, False
+    heads = [""]
+    started, logical = 0, []
     for line in code.split("\n"):
         start, at = at, at + len(line) + 1
         bare = line.strip()
         if not bare:
+            if joined and not depth:  # what was joined ends here
+                header, joined = _python_statement(" ".join(logical).strip(), started, heads), False
             continue
         if not depth and not joined:
-            width = len(line.expandtabs(8)) - len(line.expandtabs(8).lstrip())
+            wide = line.expandtabs(8)
+            width = len(wide) - len(wide.lstrip(" \f"))
             if header:
                 if width <= indents[-1]:
                     raise Fault("missing block", start)
                 indents.append(width)
+                heads.append("")
             else:
                 if width > indents[-1]:
                     raise Fault("indentation", start)
                 while width < indents[-1]:
                     indents.pop()
+                    if heads.pop() == "try":
+                        raise Fault("missing block", start)
                 if width != indents[-1]:
                     raise Fault("indentation", start)
-            logical, started = "", start
-        logical += " " + bare
-        depth += sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
+            logical, started = [], start
         joined = bare.endswith("\\")
+        logical.append(bare[:-1] if joined else bare)
+        depth += sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
         if depth or joined:
             continue
-        logical = logical.strip()
-        flat = logical
-        if any(b in flat for b in "([{"):
-            for _ in range(40):
-                flat, n = re.subn(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "\x03", flat)
-                if not n:
-                    break
-        compound = _COMPOUND.match(flat)
-        if compound and ":" not in flat:
-            raise Fault("missing colon", started)
-        if compound and compound.group(1) == "def" and not re.match(r"(?:async[ \t]+)?def[ \t]+\w+[ \t]*\x03*\x03[ \t]*(?:->[^:]+)?:", flat):
-            raise Fault("bad header", started)
-        header = flat.endswith(":") and (bool(compound) or re.match(r"(?:match|case)\b", flat) is not None)
-        if flat.endswith(":") and not header:
-            raise Fault("misplaced token", started)
-        if _SIMPLE_BAD.search(flat) or re.match(r"import[ \t]+[^\w.]|from[ \t]+(?!.*\bimport\b)", flat):
-            raise Fault("misplaced token", started)
-    if header:
+        header = _python_statement(" ".join(logical).strip(), started, heads)
+    if header or joined or "try" in heads:
         raise Fault("premature end", len(code))
 
 
+# Words that need a name before a delimiter or an assignment.
+_UNNAMED = {
+    "javascript": re.compile(r"(?<![\w.$#])(?:(?:const|let|var)[ \t]*(?:=(?!=)|;|,|\))|function[ \t]*\*?[ \t]*\{|(?:extends|import|new)[ \t]*[;=)])"),
+    "go": re.compile(r"(?<![\w.])(?:func[ \t]*\{|(?:var|type|const)[ \t]*=|package[ \t]*(?:;|\n))"),
+    "java": re.compile(r"(?<![\w.])(?:(?:class|interface|enum|extends|implements|package|import)[ \t]*[{;=(]|new[ \t]*[;)=])"),
+    "rust": re.compile(r"(?<![\w.#])(?:fn[ \t]*\{|let[ \t]*[=;]|(?:struct|enum|trait|mod)[ \t]*[{;=(])"),
+}
+_UNNAMED["typescript"] = _UNNAMED["javascript"]
+#: Two operators of which the second cannot begin an operand, apart by a blank.
+_TWICE = re.compile(r"(?<![=!<>+\-*/%&|^?:])(?:=|[=!]==?|&&|[<>]=|[-+*/%^|&]=)[ \t]+(?:=(?!>)|[=!]=|[/%^](?![/*])|&&|[<>]=)")
+_JAVA_OPERAND = re.compile(r"[\w\x02)\]][ \t\r\n]*\}")
+_JAVA_LIST = re.compile(r"[=,({\]][ \t\r\n]*\Z|\benum\s+\w+[^{};()=]*\Z")
+
+
+def _java_ends(code: str, opened: dict[int, int]) -> None:
+    """A statement or field ends before the brace that closes its block; only lists of values and constants hold none."""
+    for m in _JAVA_OPERAND.finditer(code):
+        if m.group()[0] == ")" and re.search(r"@\w+(?:\.\w+)*\s*\([^()]*\Z", code[max(0, m.start() - 400) : m.start()]):
+            continue
+        if not _JAVA_LIST.search(code[:opened[m.end() - 1]][-4000:]):
+            raise Fault("misplaced token", m.start())
+
+
 _GO_TOP = re.compile(r"(?:package|import|func|type|var|const)\b")
 _RUST_TOP = re.compile(r"(?:#|pub|fn|use|mod|struct|enum|impl|trait|const|static|type|extern|unsafe|async|macro_rules|union|\w+!|crate)")
 _JAVA_END = re.compile(r"[;{}(,@]$|^@\w|[=+\-*/&|?:.)\]>\x02\w]$")
@@ -334,7 +529,7 @@ def _yaml(text: str) -> None:
     lines = text.split("\n")
     indents: list[tuple[int, str]] = []
     at, k = 0, 0
-    scalar = -1  # indentation of the key of a block scalar
+    scalar = plain = -1  # indentation of the key of a block scalar, of a plain one
     can_nest = True
     while k < len(lines):
         line = lines[k].rstrip("\r")
@@ -351,6 +546,9 @@ def _yaml(text: str) -> None:
             continue
         if line[width] == "\t":
             raise Fault("indentation", start)
+        if 0 <= plain < width and not _YAML_KEY.match(bare) and not re.match(r"-(?:\s|$)", bare):
+            continue  # the scalar goes on
+        plain = -1
         while indents and indents[-1][0] > width:
             indents.pop()
             can_nest = False
@@ -406,6 +604,7 @@ def _yaml(text: str) -> None:
         if value and value[0] in "@`%" or re.search(r":\s", value) and not (kind == "item" and not key):
             raise Fault("misplaced token", start)
         can_nest = not value or value[0] in "&!" or kind == "item"
+        plain = width if value and value[0] not in "&!*" else -1
 
 
 def _flow(text: str) -> None:
@@ -426,15 +625,18 @@ def fault(text: str | None, extension: str | None) -> tuple[str, int] | None:
                 raise Fault("conflict or patch mark", m.start())
             _yaml(text)
         else:
-            text = code = blank(text.removeprefix("﻿"), language)  # the same lines
+            text = code = blank(text.removeprefix("﻿"), language, (extension or "").lower() in ("jsx", "tsx", "js", "mjs"))  # the same lines
             if m := _MARKER.search(code):
                 raise Fault("conflict or patch mark", m.start())
             if m := _ODD.search(code) or _FOREIGN[language].search(code):
                 raise Fault("misplaced token", m.start())
-            _balance(code)
-            _neighbours(code, language)
+            opened = _balance(code)
             if language == "python":
                 _python_lines(code)
+                return None
+            _neighbours(code, language)
+            if language == "java":
+                _java_ends(code, opened)
             _top_level(code, language)
     except Fault as x:
         return x.args[0], text.count("\n", 0, x.args[1]) + 1

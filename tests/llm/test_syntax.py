@@ -1,10 +1,17 @@
 import ast
 import json
+import random
+import re
+import sysconfig
+import warnings
+from pathlib import Path
 
 import pytest
 
 from corpusloom.llm import syntax
 
+warnings.filterwarnings("ignore", category=SyntaxWarning)
+
 GOOD = {
     "py": ['def f(a, b=")"):\n    """(doc"""\n    if a:\n        return {1: [2]}\n    # don\'t (\n    return f"{a}"\n', "x = (\n    1,\n    2)\nclass A: pass\n", "", "@dec(1)\nasync def f() -> int:\n    await g()\n", 's = """\n<<<<<<< HEAD\n=======\n"""\n'],
     "ts": ["export const f = (a: number): string => `x ${`y${a}`} ) {`;\n", "/* <<<<<<< HEAD\n=======\n*/\nconst r = /[({]+\\/x/g;\nlet s = '}';\n", "interface A { b?: string; c: () => void }\ntype X = { a: number } | null;\n"],
@@ -69,3 +76,59 @@ def test_operator(spark):
     rates = {(r.repo, r.language): (r.files, r.invalid) for r in syntax.invalid_rates(files, found).collect()}
     assert rates == {("r", "python"): (4, 3), (None, "json"): (1, 1)}
     assert syntax.invalid_files(files.limit(0)).count() == 0
+
+
+#: Valid code that word neighbours alone would misjudge, and faults that they would miss.
+TRICKY_GOOD = [
+    ("py", "x = 1 if a else 2\nmetavar, = f(1)\nfor x, in y: pass\nprint(f'{f'{a}' if b else ''}')\n"),
+    ("py", 'def f(a, /, *, b=1, **c):\n    """doc\n    (\n    """\n    return """\n    %s\n    """ % (a[:, 1:], not b, lambda: 0, [i async for i in c])\n'),
+    ("py", "match = 1\nmatch x:\n    case [1, *_]: pass\n    case _:\n        type2 = ...\ntry:\n    pass\nexcept* E as e:\n    raise X from None\nelse: pass\n"),
+    ("jsx", "const a = (\n  <p className=\"b\">don't stop {x ? <b>it's</b> : null}<br/></p>\n);\nconst c = a < b && c > d;\n"),
+    ("tsx", "const f = <T,>(x: T) => x;\nexport const A = () => <><i/>{list.map((x) => <li key={x}>{`}${x}`}</li>)}</>;\n"),
+    ("js", "f(function () {\n}\n)\n"),
+    ("java", "@A({B.class, C.class})\nclass D {\n    int[] x = {1, 2};\n    enum E { X, Y }\n    String[] f() { return new String[] { \"a\" }; }\n}\n"),
+    ("yml", "a: some text\n  that goes on\nb:\n  - one item\n    over two lines\n  - c: d\n"),
+]
+TRICKY_BAD = [
+    ("py", "x = = 1\n"), ("py", "f(a b)\n"), ("py", "x = a.\n"), ("py", "try:\n    pass\nx = 1\n"), ("py", "if a:\n    b\nexcept X:\n    c\n"), ("py", "return return\n"), ("py", "x = (1,, 2)\n"), ("py", "print 'x'\n"), ("py", "x = f'{a'\n"),
+    ("js", "function { }\n"), ("ts", "const = 5;\n"), ("jsx", "const a = <div><p></div>;\n"), ("jsx", "const a = <div>\n"), ("java", "class A { int x }\n"), ("yml", "a: text\n  b: c\n"),
+]
+
+
+@pytest.mark.parametrize(("ext", "text"), TRICKY_GOOD)
+def test_tricky_valid(ext, text):
+    assert syntax.fault(text, ext) is None
+
+
+@pytest.mark.parametrize(("ext", "text"), TRICKY_BAD)
+def test_tricky_invalid(ext, text):
+    assert syntax.fault(text, ext) is not None
+
+
+def test_standard_library():
+    """At most one in a hundred of its files is flagged; nearly all are once they are cut, spliced or renamed."""
+    rng = random.Random(3)
+    texts = [p.read_text("utf-8", "ignore") for p in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))]
+    assert len(texts) > 100 and sum(syntax.fault(t, "py") is not None for t in texts) <= 0.01 * len(texts)
+
+    def invalid(t):
+        try:
+            ast.parse(t)
+        except (SyntaxError, ValueError):
+            return True
+        return False
+
+    broken = [t[: rng.randrange(len(t) // 3, len(t))] for t in texts if len(t) > 300]
+    for t in texts:
+        m = rng.choice(list(re.finditer(r"\w+|[-+*/=.,()\[\]{}:]", t)) or [re.match("", t)])
+        broken += [t[: m.start()] + t[m.end() :], t[: m.end()] + " " + t[m.start() :]]
+    broken = [t for t in broken if invalid(t)]
+    assert len(broken) > 150 and sum(syntax.fault(t, "py") is not None for t in broken) >= 0.9 * len(broken)
+    long = [t for t in texts if len(t) > 1000]
+    for ext in ("ts", "js", "go", "java", "rs", "json"):
+        assert sum(syntax.fault(t, ext) is None for t in long) <= 0.01 * len(long)
+
+
+def test_nesting_has_no_limit():
+    assert syntax.fault("x = " + "(" * 500 + "1" + ")" * 500 + "\n", "py") is None
+    assert syntax.fault("x = " + "[" * 500 + "1" + "]" * 499 + "\n", "py") is not None
