@@ -51,14 +51,17 @@ _PUBLIC = re.compile(r"(?:sha\d+-|ssh-|ecdsa-|data:|https?:|file:|[.~]?/|\w+://|
 _HEX = re.compile(r"[0-9a-fA-F]{24,}")
 
 # A quoted literal without blanks that holds a digit, or mixes cases with other signs.
-_LITERAL = re.compile(r"""(["'`])(?=[^"'`\s]*\d|[^"'`\s]*[A-Z][^"'`\s]*[^\w"'`\s]|[^"'`\s]*[^\w"'`\s][^"'`\s]*[A-Z])([^"'`\s]{8,})\1""")
+_LITERAL = re.compile(r"""(["'`])(?=[^"'`\s]*\d|[^"'`\s]*[A-Z][^"'`\s]*[^\w"'`\s]|[^"'`\s]*[^\w"'`\s][^"'`\s]*[A-Z])([^"'`\s]{6,})\1""")
 _JOIN = re.compile(r"""(["'`])[ \t]*(?:\\?\r?\n[ \t]*)?\+[ \t]*(?:\r?\n[ \t]*)?\1""")
 _LAST_NAME = re.compile(r"[A-Za-z_][\w-]*")
 _HELPERS = frozenset("str string String const static final private public let var val env environ process os get getenv Getenv getOrDefault unwrap_or or_else or default Some to_string char auto char8 ENV f b r u mut ref".split())
-_LOG_IN = re.compile(r"\b(?:login|log_in|logIn|signin|sign_in|signIn|connect|authenticate|auth)\s*\(\s*[^()]*,\s*$", re.I)
-_BARE = re.compile(r"(?m)^[^\n\"'`]*?(?:^|[\s#/*,;{])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,})(?=\s|$)")
+_LOG_IN = re.compile(r"\b(?:login|log_in|signin|sign_in|connect|authenticate|auth)$", re.I)
+_KEY_AFTER = re.compile(r"[ \t]*:(?!:)")
+_HEADER_NAME = re.compile(r"(?:[A-Z][A-Za-z]*)(?:-[A-Z][A-Za-z]*)+")
+_INDEXED = re.compile(r"[\w\])]\[$")
+_PAREN = re.compile(r"[()]")
 _COMMENT_LINE = re.compile(r"(?m)^[ \t]*(?://|#|\*|/\*|--|;)[^\n]*$")
-_YAML_BARE = re.compile(r"(?m)^[ \t]*(?:- )?([A-Za-z_][\w-]*)[ \t]*:[ \t]+([^\s\"'`#&*!|>{\[][^\s\"'`]{7,})[ \t]*\r?$")
+_YAML_BARE = re.compile(r"(?m)^[ \t]*(?:- )?([A-Za-z_][\w-]*)[ \t]*:[ \t]+([^\s\"'`#&*!|>{\[][^\s\"'`]{5,})[ \t]*\r?$")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[_\W]+")
 
 
@@ -80,7 +83,7 @@ def unnatural(value: str, vocabulary: str) -> bool:
 
 def literal_secret(value: str, vocabulary: str) -> bool:
     """Whether the value under a credential's name is one itself."""
-    if _PLACEHOLDER.fullmatch(value) or _UUID.fullmatch(value) or _PUBLIC.match(value):
+    if _PLACEHOLDER.fullmatch(value) or _UUID.fullmatch(value) or _HEADER_NAME.fullmatch(value) or _PUBLIC.match(value):
         return False
     if _HEX.fullmatch(value):
         return len(set(value)) > 6
@@ -127,6 +130,23 @@ class _Joined:
             yield self.origin(a), self.origin(b - 1) + 1
 
 
+def _before(s: str, at: int) -> str:
+    """What stands before a place on its line, or on the line before where that is blank, back to the last whole name and the statement's start."""
+    begin = s.rfind("\n", 0, at) + 1
+    if not s[begin:at].strip():  # the value stands on the line after its name
+        at = len(s[:at].rstrip())
+        begin = s.rfind("\n", 0, at) + 1
+    size = 160
+    while at - size > begin:
+        piece = s[at - size : at]
+        # what the window cuts off does not matter once it holds a name of its own, and for a default the statement's start
+        names = [n.group() for n in _LAST_NAME.finditer(piece) if n.start()]
+        if any(n not in _HELPERS for n in names) and (not piece.rstrip().endswith("(") or re.search(r"[;{}]", piece)):
+            return piece.rstrip()
+        size *= 4
+    return s[begin:at].rstrip()
+
+
 def find(text: str, bare: str = "comments", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> list[list[tuple[int, int]]]:
     """The credentials of a text in order, each as its spans.
 
@@ -155,22 +175,25 @@ def find(text: str, bare: str = "comments", vocabulary: str = f"{TOKENIZERS}/byt
         k = bisect_right(taken, (end, -1)) - 1
         return k < 0 or taken[k][1] <= start
 
+    parens = None
     for m in _LITERAL.finditer(s):
         start, end = m.span(2)
         if not free(start, end):
             continue
-        line = s[max(s.rfind("\n", 0, m.start()) + 1, m.start() - 160) : m.start()]
-        if not line.strip():  # the value stands on the line after its name
-            before = s[: m.start()].rstrip()
-            line = before[max(before.rfind("\n") + 1, len(before) - 160) :]
-        line = line.rstrip()
-        if line[-1:] not in ("=", ":", ",", "(", "|", "?", "[", "{", "&"):
+        line = _before(s, m.start())
+        if line[-1:] not in ("=", ":", ",", "(", "|", "?", "[", "{", "&") or (line[-1] != "?" and _KEY_AFTER.match(s, m.end())):
+            continue  # a literal before a colon is a key
+        if _INDEXED.search(line) and s[m.end() : m.end() + 1] == "]":
             continue
         names = [n for n in _LAST_NAME.findall(line) if n not in _HELPERS]
-        by_name = names and line[-1] != "(" and secret_name(names[-1])
-        if not by_name and line[-1] == "(" and len(names) > 1:  # a default, as in name.or("...")
-            by_name = bool(re.search(r"env|getOrDefault|unwrap_or", line)) and any(map(secret_name, names))
-        if (by_name or _LOG_IN.search(line)) and literal_secret(m.group(2), vocabulary):
+        wanted = names and line[-1] != "(" and secret_name(names[-1])
+        if not wanted and line[-1] == "(" and len(names) > 1:  # a default, as in name.or("...")
+            wanted = bool(re.search(r"env|getOrDefault|unwrap_or", line)) and any(map(secret_name, names))
+        if not wanted and line[-1] == ",":  # a further argument of a log-in
+            parens = [p.start() for p in _PAREN.finditer(s)] if parens is None else parens
+            k = bisect_right(parens, m.start()) - 1
+            wanted = k >= 0 and s[parens[k]] == "(" and bool(_LOG_IN.search(_before(s, parens[k])))
+        if wanted and literal_secret(m.group(2), vocabulary):
             found.append((start, end, start))
     if bare == "all":
         hits = list(_bare(s, 0))
@@ -188,7 +211,7 @@ def find(text: str, bare: str = "comments", vocabulary: str = f"{TOKENIZERS}/byt
 
 def _bare(text: str, offset: int) -> Iterator[tuple[str, int, int]]:
     # a value that a quote ends is passed as a whole: any other that begins in it ends there too
-    for m in re.finditer(r"(?:^|[\s#/*,;{(])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{8,}+)", text):
+    for m in re.finditer(r"(?:^|[\s#/*,;{(])([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([^\s\"'`]{6,}+)", text):
         if text[m.end(2) : m.end(2) + 1].strip():
             continue
         end = m.end(2) - (m.group(2)[-1] in ".,;" and m.group(2)[-2:-1].isalnum())

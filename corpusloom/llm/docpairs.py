@@ -81,7 +81,7 @@ def doc_above(lines: list[str], k: int, language: str) -> str | None:
         # the last line of an annotation over several lines
         if bare and bare[-1] in ")]" and not bare.startswith(("//", "*", "/*")):
             depth, i = 0, j
-            while i >= 0 and j - i < 60:
+            while i >= 0:
                 depth += sum(map(lines[i].count, ")]")) - sum(map(lines[i].count, "(["))
                 if depth <= 0:
                     break
@@ -158,7 +158,7 @@ def functions(text: str, ext: str) -> Iterator[tuple[str, int, int, str, str]]:
     for m in SIGNATURES[language].finditer(text):
         group = m.lastindex
         name = m.group(group)
-        if name in _NOT_NAMES:
+        if name in _NOT_NAMES and language in ("java", "javascript", "typescript"):  # the others begin with a word of their own
             continue
         at_line += text.count("\n", at, m.start(group))
         at = m.start(group)

@@ -26,7 +26,7 @@ SHARD_WORDS = 2_000_000
 #: Characters of evaluation texts that one pass over the corpus carries; more take more passes.
 EVAL_CHARS = 32_000_000
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _NUMBERED = re.compile(r"(?m)^[ \t>*#/|+-]*\d+[ \t]*[.):|][ \t]")
 _INVISIBLE = re.compile("[­​-‍⁠﻿�]")
@@ -48,24 +48,33 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_NUMBERED.sub(" ", text).lower())
 
 
+#: Words that are compared at a time where a match is followed to its end.
+STRIDE = 64
+
+
 class EvalIndex:
-    """The test suffixes of one block of evaluation items, as numbers of words."""
+    """The test suffixes of one block of evaluation items: the numbers of all words in one array, and where the suffixes begin in it."""
 
-    def __init__(self, items: list[tuple[int, str | None]], min_words: int) -> None:
+    def __init__(self, vocabulary: dict[str, int], flat: np.ndarray, begins: np.ndarray, items: list, min_words: int) -> None:
+        self.vocabulary, self.flat, self.begins, self.items, self.min_words = vocabulary, flat, begins, items, min_words
+
+    @classmethod
+    def build(cls, items: list[tuple[int, str | None]], min_words: int) -> EvalIndex:
         split = [(i, w) for i, t in items if len(w := words(t)) >= min_words]
-        self.min_words = min_words
-        self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in split for w in ws}), start=1)}
-        self.depth = max((len(w) for _, w in split), default=0)
-        self.items: list[int] = []
-        rows = []
+        vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in split for w in ws}), start=1)}
+        # a 0 stands before and after each item
+        flat = np.zeros(1 + sum(len(w) + 1 for _, w in split) + STRIDE, dtype=np.int32)
+        begins, owners, at = [np.zeros(0, dtype=np.int64)], [], 1
         for item, ws in split:
-            numbers = [self.vocabulary[w] for w in ws]
-            for k in range(len(ws) - min_words + 1):
-                self.items.append(item)
-                rows.append(numbers[k:])
-        self.suffixes = np.zeros((len(rows), self.depth), dtype=np.int32)  # 0 ends a suffix
-        for k, row in enumerate(rows):
-            self.suffixes[k, : len(row)] = row
+            flat[at : at + len(ws)] = [vocabulary[w] for w in ws]
+            begins.append(np.arange(at, at + len(ws) - min_words + 1))
+            owners += [item] * len(begins[-1])
+            at += len(ws) + 1
+        return cls(vocabulary, flat, np.concatenate(begins), owners, min_words)
+
+    def parts(self) -> tuple:
+        """What ``EvalIndex(*parts)`` is made of."""
+        return self.vocabulary, self.flat, self.begins, self.items, self.min_words
 
     def matches(self, docs: list[int | None], texts: list[str | None]) -> Iterator[tuple[int | None, int, int, int]]:
         """(document's position in the shard, item, longest match in words, word offset in the document)."""
@@ -81,7 +90,7 @@ class EvalIndex:
             pieces.append(np.zeros(1, dtype=np.int32))
         if not at:
             return
-        seq = np.concatenate([*pieces, np.zeros(self.depth + 1, dtype=np.int32)])
+        seq = np.concatenate([*pieces, np.zeros(self.min_words + STRIDE, dtype=np.int32)])
         # a suffix counts if its first min_words words are all of the vocabulary
         zeros = np.concatenate([[0], np.cumsum(seq == 0)])
         begin = np.flatnonzero(zeros[self.min_words : self.min_words + at] == zeros[:at])
@@ -90,12 +99,17 @@ class EvalIndex:
         order = self._suffix_array(seq, begin)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         starts_of = np.array(starts)
-        head = self.suffixes[:, : self.min_words]
+        head = self.flat[self.begins[:, None] + np.arange(self.min_words)]
         low = self._search(seq, order, head, "left")
         high = self._search(seq, order, head, "right")
         for k in np.flatnonzero(high > low):
             places = order[low[k] : high[k]]
-            lengths = self._common(seq, places, self.suffixes[k])
+            # a match that goes on to the left belongs to the suffix before
+            before = self.flat[self.begins[k] - 1]
+            places = places[(seq[places - 1] != before) | (places == 0) | (before == 0)]
+            if not len(places):
+                continue
+            lengths = self._common(seq, places, int(self.begins[k]))
             owner = np.searchsorted(starts_of, places, side="right") - 1
             for d, n, p in zip(owner.tolist(), lengths.tolist(), places.tolist()):
                 key = (d, self.items[k])
@@ -134,13 +148,16 @@ class EvalIndex:
             high = np.where(open_ & ~right, mid, high)
         return low
 
-    def _common(self, seq: np.ndarray, places: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        """Words that the suffix shares with the text at each place."""
-        lengths = np.empty(len(places), dtype=np.int64)
-        reach = np.arange(len(suffix))
-        for k in range(0, len(places), 4096):
-            unlike = (seq[places[k : k + 4096, None] + reach] != suffix) | (suffix == 0)
-            lengths[k : k + 4096] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), len(suffix))
+    def _common(self, seq: np.ndarray, places: np.ndarray, begin: int) -> np.ndarray:
+        """Words that the suffix at ``begin`` shares with the text at each place."""
+        lengths, reach, open_ = np.zeros(len(places), dtype=np.int64), np.arange(STRIDE), np.arange(len(places))
+        while len(open_):
+            done = int(lengths[open_[0]])  # all open places have come equally far
+            suffix = self.flat[begin + done : begin + done + STRIDE]
+            unlike = (seq[places[open_, None] + done + reach] != suffix) | (suffix == 0)
+            ended = unlike.any(axis=1)
+            lengths[open_] += np.where(ended, unlike.argmax(axis=1), STRIDE)
+            open_ = open_[~ended]
         return lengths
 
 
@@ -173,10 +190,12 @@ def leaked_passages(
     out = f"doc {doc_kind}, item {item_kind}, words int, word_offset int"
     found = None
     for block in _blocks(items, item_col, text_col, eval_chars):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
+        # plain values, which executors read without the package
+        shared = documents.sparkSession.sparkContext.broadcast(EvalIndex.build(block, min_words).parts())
+        item_type = pa.array([block[0][0]]).type
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = EvalIndex(shared.value, min_words)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
+            index = EvalIndex(*shared.value)
             docs, texts, size = [], [], 0
 
             def flush() -> pa.RecordBatch:
@@ -184,10 +203,9 @@ def leaked_passages(
                 columns = list(zip(*hits)) or [[], [], [], []]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc", "item", "words", "word_offset"])
 
-            kinds = [None, None, pa.int32(), pa.int32()]
+            kinds = [None, item_type, pa.int32(), pa.int32()]
             for batch in batches:
                 kinds[0] = batch.schema.field(0).type
-                kinds[1] = pa.array([shared.value[0][0]]).type
                 for start in range(0, batch.num_rows, 500):
                     piece = batch.slice(start, 500)
                     docs += piece.column(0).to_pylist()

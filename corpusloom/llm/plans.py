@@ -18,6 +18,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold no passage of an evaluation item."""
+    documents = table(spark, folder, "documents")
+    leaked = leakage.leaked_passages(documents, table(spark, folder, "eval_items"))
+    return leakage.clean_documents(documents, leaked).select("doc_id").distinct()
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that are mostly keywords, links or product tags."""
     return spam.spam_pages(table(spark, folder, "documents")).select("doc_id")
@@ -39,6 +46,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.machine_files(table(spark, folder, "files")).select("file_id")
 
 
+def p5_handwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """The source files that remain."""
+    files = table(spark, folder, "files")
+    return handwritten.handwritten_files(files, handwritten.machine_files(files)).select("file_id").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Functions and methods with non-trivial documentation."""
     return docpairs.documented_functions(table(spark, folder, "files"), table(spark, folder, "symbols")).select("file_id", "name", "line")
@@ -81,5 +94,5 @@ def p2_top5(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.exact_nearest(table(spark, folder, "file_vectors"), k=5)
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p7_redacted_rules": p7_redacted_rules, "p5_found": p5_found, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_top5": p2_top5, "p7_found": p7_found, "p7_redacted": p7_redacted, "p7_redacted_rules": p7_redacted_rules, "p5_found": p5_found, "p5_handwritten": p5_handwritten, "p6_found": p6_found, "p4_found": p4_found, "p4_rates": p4_rates, "p10_found": p10_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}

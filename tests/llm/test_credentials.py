@@ -83,3 +83,15 @@ def test_long_values():
         spans = credentials.find(text, bare)
         assert len(spans) == 1 and long[:100] not in credentials.redact(text, spans) and long[-100:] not in credentials.redact(text, spans)
     assert credentials.find("# " + ",secret_key=a1B" * 40_000 + "'\n") == []
+
+
+def test_keys_and_header_names_are_no_values_and_no_length_is_too_long():
+    secret = "aB3" + "".join(chr(97 + (n * n) % 26) + str(n % 10) + chr(65 + (n * 7) % 26) for n in range(270))
+    assert len(secret) > 800
+    for text in (f'password = "{secret}"', f'const x = {{ {"a: 1, " * 60}password: "{secret[:40]}" }};', f'# password: {secret}', "password =\n    'k9#xQ2!z'", 'pw = "aB3$x9"'):
+        assert len(credentials.find(text)) == 1, text[:60]
+    for text in ('{\n  "token": "abc",\n  "delihare_10": "true"\n}', 'login("tenesasi", "X-Api-Key");', 'x = a["token"]["delihare_10"]'):
+        assert not credentials.find(text), text
+    assert len(credentials.find('log_in(\n    "rubevado", "Delih%_QznMM79")')) == 1
+    many = "f(" + ", ".join(f'"a{n}B{n}-x"' for n in range(20_000)) + ");"
+    assert not credentials.find(many)

@@ -52,3 +52,11 @@ def test_every_symbol_has_a_signature(spark, sf):
             line = f.content.replace("\r\n", "\n").split("\n")[s.line - 1]
             missing += not any(m.group(m.lastindex) == s.name for m in pattern.finditer(line + "\n"))
     assert missing == 0 and len(symbols) > 1000
+
+
+def test_words_of_other_languages_are_names_in_python_and_annotations_have_no_limit():
+    text = 'def throw(x):\n    """Raises what was given to it."""\n    pass\n'
+    assert [f[0] for f in docpairs.functions(text, "py")] == ["throw"]
+    lines = "\n".join(f"    'role{n}'," for n in range(90))
+    java = f"class A {{\n/** Deletes all of the given records. */\n@Allowed(\n{lines}\n)\npublic void remove() {{\n}}\n}}\n"
+    assert [f[0] for f in docpairs.functions(java, "java")] == ["remove"]

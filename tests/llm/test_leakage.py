@@ -60,3 +60,18 @@ def test_hot_copies_and_very_long_text(spark):
     assert found.filter("doc_id < 500").count() == 1000 and found.filter("doc_id = 999").count() == 2
     left = leakage.clean_documents(frames(spark, docs, [])[0], found)
     assert left.count() == 0
+
+
+def test_long_items_stay_flat(spark):
+    """An item of n words takes n numbers, and its matches are followed to their end."""
+    rng = random.Random(5)
+    item = [f"v{rng.randrange(5000)}" for _ in range(30_000)]
+    index = leakage.EvalIndex.build([(1, " ".join(item)), (2, "a b"), (3, None)], 12)
+    assert index.flat.nbytes < 200_000 and len(index.begins) == 30_000 - 11
+    docs = [" ".join(item), "x " + " ".join(item[100:9000]) + " y " + " ".join(item[200:220]), " ".join(item[5:16])]
+    assert sorted(index.matches([7, 8, 9], docs)) == [(0, 1, 30_000, 0), (1, 1, 8_900, 1)]
+    same = " ".join(["w"] * 60)
+    rows = leakage.leaked_passages(*frames(spark, [(1, same + " end"), (2, " ".join(["w"] * 12)), (3, " ".join(["w"] * 11))], [(1, same)])).collect()
+    assert {(r.doc_id, r.words) for r in rows} == {(1, 60), (2, 12)}
+    tag = "<a " + "title='" + "z" * 900 + "'>"
+    assert leakage.words(f"one {tag} two") == ["one", "two"]
