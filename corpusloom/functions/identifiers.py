@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words too common in code to tell anything.
-STOPWORDS = (
-    "the and for from with this that get set new has not but are was let var const function return import export default class type interface string number boolean void null undefined true false index src lib test tests spec".split()
-)
+STOPWORDS = [
+    "the", "and", "for", "from", "with", "this", "that", "get", "set", "new", "has", "not", "but", "are", "was", "let", "var", "const", "function", "return", "import", "export",
+    "default", "class", "type", "interface", "string", "number", "boolean", "void", "null", "undefined", "true", "false", "index", "src", "lib", "test", "tests", "spec",
+]
 
 
 def split_identifier(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.graph import strong_parts
 from corpusloom.session import durable
 
 NODE_TYPES = ("function", "class", "method", "interface")
@@ -101,21 +102,30 @@ def length_p90(symbols: DataFrame, least: int = 20, share: float = 0.9) -> DataF
     return rows.groupBy("repo", "functions").agg(F.min("body_size").alias("p90"))
 
 
-def call_depth(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(repo, depth): symbols on the longest chain of resolved calls, where a symbol on a cycle counts no further than ``most``.
+def call_depth(edges: DataFrame) -> DataFrame:
+    """(repo, depth): symbols on the longest chain of resolved calls.
 
-    Longest paths are grown one call at a time and only the longest to each
-    symbol is kept; calls of a symbol by itself are left out.
+    Symbols that call each other in a cycle count as one link of the chain that
+    has all of their number. Longest paths over such links are grown one call at
+    a time, however long; only the longest to each is kept. Calls of a symbol by
+    itself are left out.
     """
-    steps = durable(
-        edges.filter("resolved and kind = 'call' and not (path = target_path and source = target)")
-        .select("repo", F.struct("path", "source").alias("a"), F.struct(F.col("target_path").alias("path"), F.col("target").alias("source")).alias("b"))
-        .distinct()
-    )
-    reach = durable(steps.select("repo", "a").unionByName(steps.select("repo", F.col("b").alias("a"))).distinct().withColumn("depth", F.lit(1)))
-    for depth in range(2, most + 1):
-        longer = durable(steps.join(reach.filter(F.col("depth") == depth - 1), ["repo", "a"]).select("repo", F.col("b").alias("a")).distinct().withColumn("depth", F.lit(depth)))
-        if longer.isEmpty():
-            break
-        reach = durable(reach.unionByName(longer).groupBy("repo", "a").agg(F.max("depth").alias("depth")))
-    return reach.groupBy("repo").agg(F.max("depth").alias("depth"))
+    key = lambda path, name: F.xxhash64("repo", path, name)
+    calls = edges.filter("resolved and kind = 'call' and not (path = target_path and source = target)")
+    steps = durable(calls.select("repo", key("path", "source").alias("s"), key("target_path", "target").alias("t")).distinct())
+    parts = durable(strong_parts(steps.select("s", "t")))
+    size = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    of = parts.select("v", "part")
+    joined = steps.join(of.select(F.col("v").alias("s"), F.col("part").alias("a")), "s", "left").join(of.select(F.col("v").alias("t"), F.col("part").alias("b")), "t", "left")
+    links = durable(joined.select("repo", F.coalesce("a", "s").alias("a"), F.coalesce("b", "t").alias("b")).filter("a <> b").distinct())
+    ends = joined.select("repo", F.coalesce("a", "s").alias("v")).unionByName(joined.select("repo", F.coalesce("b", "t").alias("v"))).distinct()
+    weights = durable(ends.join(size.withColumnRenamed("part", "v"), "v", "left").select("repo", "v", F.coalesce("size", F.lit(1)).cast("int").alias("own")))
+    weighted = links.join(weights.select("repo", F.col("v").alias("b"), "own"), ["repo", "b"])
+    reach = weights.select("repo", "v", F.col("own").alias("depth"))
+    moved = reach
+    while True:
+        longer = weighted.join(moved.select("repo", F.col("v").alias("a"), "depth"), ["repo", "a"]).groupBy("repo", F.col("b").alias("v")).agg(F.max(F.col("depth") + F.col("own")).alias("longer"))
+        both = durable(reach.join(longer, ["repo", "v"], "left").select("repo", "v", F.greatest("depth", "longer").alias("depth"), (F.coalesce("longer", F.lit(0)) > F.col("depth")).alias("moved")))
+        reach, moved = both.drop("moved"), both.filter("moved").drop("moved")
+        if moved.isEmpty():
+            return reach.groupBy("repo").agg(F.max("depth").alias("depth"))

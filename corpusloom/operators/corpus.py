@@ -7,18 +7,48 @@ removed; of several live files of one path, the latest scan stands.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import paths
+from corpusloom.session import durable
+
+
+#: Rows that are broadcast to be left out of a scan; more are joined.
+BROADCAST_ROWS = 1_000_000
 
 
 def live_files(files: DataFrame, *columns: str) -> DataFrame:
-    """(repo, path, language, file_id, ord, *columns) of live files; ``path`` is normalised. Null paths are left out."""
-    rows = files.filter("removed_at is null and path is not null").select("repo", paths.norm_path(F.col("path")).alias("npath"), F.struct("file_id", "ord", *columns).alias("v"), F.struct("scanned_at", "file_id").alias("w"))
-    latest = rows.groupBy("repo", "npath").agg(F.max_by("v", "w").alias("v"))
-    return latest.select("repo", F.col("npath").alias("path"), paths.language(F.col("npath")).alias("language"), "v.*")
+    """(repo, path, language, file_id, ord, *columns) of live files; ``path`` is normalised. Null paths are left out.
+
+    Which rows lose, being older or repeated, is found from narrow columns; a
+    table's contents are then scanned once without them and never shuffled. Rows
+    that no file holds, as in tests, have no place to be told by and are grouped.
+    """
+    live = files.filter("removed_at is null and path is not null")
+    npath = paths.norm_path(F.col("path"))
+    if not set(columns) & {"content"} or not _is_stored(files):
+        rows = live.select("repo", npath.alias("npath"), F.struct("file_id", "ord", *columns).alias("v"), F.struct("scanned_at", "file_id").alias("w"))
+        latest = rows.groupBy("repo", "npath").agg(F.max_by("v", "w").alias("v"))
+        return latest.select("repo", F.col("npath").alias("path"), paths.language(F.col("npath")).alias("language"), "v.*")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    narrow = live.select("repo", npath.alias("npath"), "scanned_at", "file_id", *place)
+    order = Window.partitionBy("repo", "npath").orderBy(F.desc_nulls_last("scanned_at"), F.desc_nulls_last("file_id"), "_file", "_row")
+    lost = durable(narrow.withColumn("_n", F.row_number().over(order)).filter("_n > 1").select("_file", "_row"))
+    lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    kept = live.select("repo", npath.alias("path"), "file_id", "ord", *columns, *place).join(lost, ["_file", "_row"], "left_anti")
+    return kept.select("repo", "path", paths.language(F.col("path")).alias("language"), "file_id", "ord", *columns)
+
+
+def _is_stored(rows: DataFrame) -> bool:
+    """Whether the rows come from files, so that each has a place in one."""
+    try:
+        rows.select("_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
 
 
 def live_symbols(symbols: DataFrame) -> DataFrame:

@@ -15,12 +15,19 @@ INDEX_FILES = ("index.ts", "index.js", "index.tsx", "index.jsx", "__init__.py",
 
 # Layers of folder names, and the order in which layers may import each other.
 LAYER_DIRS = {
-    "controller": "controller controllers", "api": "routes api endpoints handlers middleware interceptors guards pipes", "service": "services service usecases use-cases",
-    "model": "models model entities schemas types interfaces dtos", "data": "repositories repository data db database dal store stores state reducers actions",
-    "ui": "components views pages ui screens layouts widgets hooks", "utility": "utils util helpers lib shared common decorators",
-    "config": "config configs configuration settings constants", "test": "tests test __tests__ spec",
-}
+    "controller": ["controller", "controllers"],
+    "api": ["routes", "api", "endpoints", "handlers", "middleware", "interceptors", "guards", "pipes"],
+    "service": ["services", "service", "usecases", "use-cases"],
+    "model": ["models", "model", "entities", "schemas", "types", "interfaces", "dtos"],
+    "data": ["repositories", "repository", "data", "db", "database", "dal", "store", "stores", "state", "reducers", "actions"],
+    "ui": ["components", "views", "pages", "ui", "screens", "layouts", "widgets", "hooks"],
+    "utility": ["utils", "util", "helpers", "lib", "shared", "common", "decorators"],
+    "config": ["config", "configs", "configuration", "settings", "constants"],
+    "test": ["tests", "test", "__tests__", "spec"],
+}
 LAYER_RANK = {"api": 0, "controller": 0, "ui": 0, "service": 1, "data": 2, "model": 2, "utility": 3, "config": 3, "test": -1}
+#: Steps along the edges in one job; share of the edges up to which peeling goes on; paths for each edge up to which they are listed.
+STEPS, WORTH_PEELING, MOST_PATHS = 8, 0.9, 30
 
 
 def _joined(base: Column, rest: Column) -> Column:
@@ -97,7 +104,7 @@ def file_layers(files: DataFrame, imports: DataFrame, symbols: DataFrame) -> Dat
     a service at 0.5 if it imports from data or model folders, configuration at
     0.7 by its name, a utility at 0.4 with more than three exported functions.
     """
-    layer_of = F.create_map(*[F.lit(x) for layer, names in LAYER_DIRS.items() for n in names.split() for x in (n, layer)])
+    layer_of = F.create_map(*[F.lit(x) for layer, names in LAYER_DIRS.items() for n in names for x in (n, layer)])
     parts = F.transform(F.split("path", "/"), lambda p: F.lower(p))
     by_dir = F.element_at(F.filter(F.transform(parts, lambda p: layer_of[p]), lambda x: x.isNotNull()), 1)
     rows = files.select("repo", "path", F.when(F.size(F.filter(parts, lambda p: layer_of[p].isNotNull())) > 0, by_dir).alias("dir_layer"), F.lower(paths.stem(F.col("path"))).alias("b"))
@@ -113,7 +120,7 @@ def file_layers(files: DataFrame, imports: DataFrame, symbols: DataFrame) -> Dat
     for name, sure, hit in named:
         layer = F.when(hit, F.lit(name)).otherwise(layer)
         confidence = F.when(hit, F.greatest(confidence, F.lit(sure))).otherwise(confidence)
-    inner = [n for k in ("data", "model") for n in LAYER_DIRS[k].split()]
+    inner = [n for k in ("data", "model") for n in LAYER_DIRS[k]]
     hint = F.lit(False)
     for n in inner:
         hint = hint | F.col("source").contains(n)
@@ -144,59 +151,73 @@ def layer_boundaries(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def files_on_cycles(edges: DataFrame) -> DataFrame:
-    """(repo, path): files on an import cycle of any length.
-
-    Strongly connected parts by colouring: every file takes the largest number
-    that reaches it along the edges, so that a file that keeps its own is the root
-    of its part; what reaches the root backward within its colour is the part.
-    Parts found, and edges between colours, are taken out, files without an edge
-    in or out are peeled off, and the rest is coloured again until no edge is left.
-    """
+    """(repo, path): files on an import cycle of any length."""
     numbered = durable(edges.select("repo", "source", "target", F.xxhash64("repo", "source").alias("s"), F.xxhash64("repo", "target").alias("t")))
     names = numbered.select("repo", F.col("source").alias("path"), F.col("s").alias("v")).unionByName(numbered.select("repo", F.col("target").alias("path"), F.col("t").alias("v"))).distinct()
-    e = numbered.select("s", "t")
-    on = None
-    while True:
-        e = _peeled(e)
-        if e.isEmpty():
-            break
-        colours = _grown(e, e.select(F.col("s").alias("v")).unionByName(e.select(F.col("t").alias("v"))).distinct().withColumn("c", F.col("v")), "max")
+    return names.join(strong_parts(numbered.select("s", "t")).select("v"), "v", "left_semi").select("repo", "path")
+
+
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """(v, part): the strongly connected parts of two vertices or more of the edges (s, t), each named by its largest vertex.
+
+    Vertices without an edge in or out are peeled off. By colouring, every vertex
+    takes the largest number that reaches it along the edges, so that one that
+    keeps its own is the root of its part; what reaches the root backward within
+    its colour is the part. Parts found, and edges between colours, are taken out.
+    What is left is closed under paths of 1, 2, 4 ... edges where that stays small,
+    and is coloured again where not, until no edge is left.
+    """
+    e, on = _peeled(edges), None
+    while not e.isEmpty():
+        colours = _grown(e, e.select(F.col("s").alias("v")).unionByName(e.select(F.col("t").alias("v"))).distinct().withColumn("c", F.col("v")))
         same = durable(e.join(colours.select(F.col("v").alias("s"), F.col("c").alias("cs")), "s").join(colours.select(F.col("v").alias("t"), F.col("c").alias("ct")), "t").filter("cs = ct").select("s", "t"))
-        roots = colours.filter("v = c")
-        part = _grown(same.select(F.col("t").alias("s"), F.col("s").alias("t")), roots, "max")
+        part = _grown(same.select(F.col("t").alias("s"), F.col("s").alias("t")), colours.filter("v = c"))
         many = part.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c")
-        found = durable(part.join(many, "c", "left_semi").select("v"))
+        found = part.join(many, "c", "left_semi").select("v", F.col("c").alias("part"))
         on = found if on is None else on.unionByName(found)
         gone = part.select("v")
-        e = same.join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "t"), "t", "left_anti")
-    if on is None:
-        return names.select("repo", "path").limit(0)
-    return names.join(on.distinct(), "v", "left_semi").select("repo", "path")
-
-
-def _peeled(e: DataFrame, steps: int = 3) -> DataFrame:
-    """The edges (s, t) without those that no cycle can use: whose ends lack an edge in or an edge out."""
-    size = -1
+        e = _peeled(same.join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "t"), "t", "left_anti"))
+        reached = _closed(e)
+        if reached is not None:
+            back = reached.select(F.col("s").alias("t"), F.col("t").alias("s"))
+            both = reached.join(back, ["s", "t"]).groupBy(F.col("s").alias("v")).agg(F.max("t").alias("part"))
+            return on.unionByName(both)
+    return edges.select(F.col("s").alias("v"), F.col("t").alias("part")).limit(0) if on is None else on
+
+
+def _peeled(e: DataFrame) -> DataFrame:
+    """The edges (s, t) without those that no cycle can use: whose ends lack an edge in or an edge out. It stops where little is left to peel."""
+    e, size = durable(e), None
     while True:
-        for _ in range(steps):
-            e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t")
-        e = durable(e)
         now = e.count()
-        if now in (0, size):
+        if not now or (size is not None and now > WORTH_PEELING * size):
             return e
         size = now
+        into, out = e.select(F.col("t").alias("s")).distinct(), e.select(F.col("s").alias("t")).distinct()
+        e = durable(e.join(into, "s", "left_semi").join(out, "t", "left_semi").select("s", "t"))
 
 
-def _grown(e: DataFrame, start: DataFrame, how: str, steps: int = 3) -> DataFrame:
-    """(v, c): the values of ``start`` spread along the edges (s, t) until none changes; a vertex keeps its largest.
+def _closed(e: DataFrame) -> DataFrame | None:
+    """All (s, t) of which t is reached from s; None once they outnumber the edges by ``MOST_PATHS``."""
+    edges = e.count()
+    reached, before = e, -1
+    while (now := reached.count()) != before:
+        if now > MOST_PATHS * max(edges, 1000):
+            return None
+        before = now
+        reached = durable(reached.unionByName(reached.join(reached.select(F.col("s").alias("t"), F.col("t").alias("far")), "t").select("s", F.col("far").alias("t"))).distinct())
+    return reached
 
-    Several steps are taken between two checks of whether anything moved.
-    """
-    values, before = start, None
+
+def _grown(e: DataFrame, start: DataFrame) -> DataFrame:
+    """(v, c): the values of ``start`` spread along the edges (s, t) until none changes; a vertex keeps its largest."""
+    values = durable(start)
+    # a vertex sends its value to itself as well
+    sends = durable(e.unionByName(values.select(F.col("v").alias("s"), F.col("v").alias("t"))).unionByName(e.select(F.col("t").alias("s"), "t")).distinct())
+    before = None
     while True:
-        for _ in range(steps):
-            sent = e.join(values.select(F.col("v").alias("s"), "c"), "s").select(F.col("t").alias("v"), "c")
-            values = values.unionByName(sent).groupBy("v").agg(F.expr(f"{how}(c)").alias("c"))
+        for _ in range(STEPS):
+            values = sends.join(values.withColumnRenamed("v", "s"), "s").groupBy(F.col("t").alias("v")).agg(F.max("c").alias("c"))
         values = durable(values)
         now = values.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "c") % F.lit(1 << 40))).first()
         if now == before:

@@ -17,11 +17,11 @@ from corpusloom.operators import extract
 LEAST = 0.2
 
 # First path segments that stand for layers, features, front ends, back ends and shared types.
-LAYER_FOLDERS = "controllers services models views routes middleware utils helpers repositories handlers stores entities".split()
-FEATURE_FOLDERS = "auth users products orders payments notifications dashboard inventory devices".split()
-FRONT = "frontend|web|client|ui|app"
-BACK = "backend|server|api|cmd|internal|service|services"
-SHARED = "shared|common|types|contracts|proto|schema"
+LAYER_FOLDERS = ["controllers", "services", "models", "views", "routes", "middleware", "utils", "helpers", "repositories", "handlers", "stores", "entities"]
+FEATURE_FOLDERS = ["auth", "users", "products", "orders", "payments", "notifications", "dashboard", "inventory", "devices"]
+FRONT = ["frontend", "web", "client", "ui", "app"]
+BACK = ["backend", "server", "api", "cmd", "internal", "service", "services"]
+SHARED = ["shared", "common", "types", "contracts", "proto", "schema"]
 
 
 def file_facts(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def repo_counts(facts: DataFrame) -> DataFrame:
         n(go & c("handler_path") & c("gin")).alias("gin_files"), n(go & c("handler_path") & c("net_http")).alias("net_files"),
         total("pointer_receivers", go).alias("receivers"), total("structs", go).alias("structs"),
         F.max(go & low.contains("handler")).alias("handler_dir"), F.max(go & low.contains("service")).alias("service_dir"),
-        F.max(c("root").rlike(f"(?i)^({FRONT})$")).alias("front"), F.max(c("root").rlike(f"(?i)^({BACK})$")).alias("back"), F.max(c("root").rlike(f"(?i)^({SHARED})$")).alias("shared"),
+        F.max(F.lower("root").isin(FRONT)).alias("front"), F.max(F.lower("root").isin(BACK)).alias("back"), F.max(F.lower("root").isin(SHARED)).alias("shared"),
         n(script & ((c("in_util") & F.coalesce("to_upper", F.lit(False))) | (c("in_service") & F.coalesce("to_entry", F.lit(False))))).alias("violations"),
         n(script & c("app_router")).alias("app_files"), n(script & c("pages_router")).alias("pages_files"), n(script & c("app_router") & c("use_client")).alias("client_files"),
         n(script & c("index_file") & (F.coalesce("named_export", F.lit(False)) | F.coalesce("default_export", F.lit(False)))).alias("barrels"),

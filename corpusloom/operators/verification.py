@@ -1,8 +1,8 @@
 """Rules turned into claims that are checked against the corpus, scored and rolled up.
 
 A claim is checked against the live files of its own repository. Literal
-patterns of many rules are looked for in one pass: each content meets only the
-rules of its repository, and what it meets is counted, not kept.
+patterns of many rules are looked for in one pass: each content meets the list of
+its repository's literals in the scan, and only what it meets goes on, as counts.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import glob_column
+from corpusloom.session import durable
 
 VALID, DEGRADED = 0.9, 0.6
+#: Literals in a list that contents are held against, and lists that are broadcast; more are joined.
+LITERALS_PER_LIST, BROADCAST_LISTS = 500, 2_000
 # Baselines of claim types whose rule names none, and how bad a status is.
 BASELINE = {"pattern-match": 0.8, "no-pattern": 0.95, "naming-convention": 0.9, "directory-structure": 0.8, "custom": 0.8}
 STATUSES = ("valid", "degraded", "violated", "obsolete")
@@ -52,13 +55,14 @@ def claim_scores(claims: DataFrame, files: DataFrame, symbols: DataFrame, import
     """
     zero = F.lit(0).cast("long")
     literal = claims.filter(F.col("type").isin("pattern-match", "no-pattern")).select("rule_no", "repo", "assertion", glob_column(F.col("applies_to")).alias("scope"))
+    # lists of at most so many literals of a repository; a content meets each list of its own
+    many = literal.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.pmod(F.xxhash64("rule_no"), F.ceil(F.col("n") / LITERALS_PER_LIST))
+    lists = durable(literal.join(many, "repo").groupBy("repo", chunk.alias("chunk")).agg(F.collect_list(F.struct("rule_no", "assertion", "scope")).alias("rules")))
     texts = files.filter("content is not null").select("repo", "path", "content")
-    by_text = (
-        texts.join(literal, "repo")
-        .filter(F.col("scope").isNull() | F.expr("path rlike scope"))
-        .groupBy("rule_no")
-        .agg(F.count_if(F.expr("contains(content, assertion)")).alias("matched"), F.count(F.lit(1)).alias("checked"))
-    )
+    met = texts.join(F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists, "repo")
+    checks = F.expr("transform(filter(rules, r -> r.scope is null or path rlike r.scope), r -> struct(r.rule_no as rule_no, contains(content, r.assertion) as hit))")
+    by_text = met.select(F.explode(checks).alias("c")).groupBy("c.rule_no").agg(F.count_if("c.hit").alias("matched"), F.count(F.lit(1)).alias("checked"))
     limits = claims.filter("type = 'import-constraint'").select("rule_no", "repo", glob_column(F.coalesce("source", F.lit("undefined"))).alias("from_glob"), glob_column(F.coalesce("forbidden", F.lit("undefined"))).alias("to_glob"))
     scoped = files.select("repo", "path").join(limits, "repo").filter(F.expr("path rlike from_glob"))
     of = imports.select("repo", "path", F.col("source").alias("import_source"), "resolved_path")

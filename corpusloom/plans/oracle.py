@@ -36,8 +36,8 @@ esize AS (SELECT repo, count(*) AS n FROM ed GROUP BY repo),
 no AS (SELECT lf.repo, lf.path, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) + coalesce(out_degree, 0) AS degree,
   coalesce(in_degree, 0) * coalesce(out_degree, 0) * 1.0e0 / greatest(coalesce(n, 0), 1) AS betweenness
   FROM lf LEFT JOIN deg USING (repo, path) LEFT JOIN esize USING (repo))"""
-_dirs = _values((n, layer) for layer, names in LAYER_DIRS.items() for n in names.split())
-_inner = " OR ".join(f"contains(source, '{n}')" for k in ("data", "model") for n in LAYER_DIRS[k].split())
+_dirs = _values((n, layer) for layer, names in LAYER_DIRS.items() for n in names)
+_inner = " OR ".join(f"contains(source, '{n}')" for k in ("data", "model") for n in LAYER_DIRS[k])
 _LAYERS = f"""
 dirs(d, l) AS (VALUES {_dirs}),
 parts AS (SELECT repo, path, k, lower(string_split(path, '/')[k]) AS part FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM lf)),

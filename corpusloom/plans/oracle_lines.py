@@ -110,7 +110,7 @@ li AS (SELECT file_id, language, line, {_ik} AS kind, {_iv} AS source, last_valu
     "pattern_checks": _with(*_BASE, _LINES, _EXPORTS, _FACTS, _MINED, f"ch(pattern, type, c, s) AS (VALUES {_checks})") + "SELECT repo, mp.pattern, prevalence, coalesce(ch.type, 'custom') AS type, c AS check, s AS subject FROM mp LEFT JOIN ch ON ch.pattern = mp.pattern",
     "call_depth": _with(_SYMBOLS, _IMPORTS, _CALLS, """
 st AS (SELECT DISTINCT repo, path || '#' || source AS a, target_path || '#' || target AS b FROM ce WHERE resolved AND kind = 'call' AND NOT (path = target_path AND source = target)),
-w AS (SELECT repo, n, 1 AS d FROM (SELECT repo, a AS n FROM st UNION SELECT repo, b FROM st) UNION SELECT st.repo, st.b, w.d + 1 FROM w JOIN st ON st.repo = w.repo AND st.a = w.n WHERE w.d < 64)""") + "SELECT repo, max(d)::INT AS depth FROM w GROUP BY repo",
+w AS (SELECT repo, n, 1 AS d, [n] AS seen FROM (SELECT repo, a AS n FROM st UNION SELECT repo, b FROM st) UNION SELECT st.repo, st.b, w.d + 1, list_append(w.seen, st.b) FROM w JOIN st ON st.repo = w.repo AND st.a = w.n WHERE NOT list_contains(w.seen, st.b))""") + "SELECT repo, max(d)::INT AS depth FROM w GROUP BY repo",
     "cluster_terms": _with(*_BASE, _TOKENS, _TFIDF, _PAIRS) + """SELECT repo, component, files, terms FROM (SELECT repo, component, list(term ORDER BY r) AS terms FROM (SELECT repo, component, term, row_number() OVER (PARTITION BY repo, component ORDER BY floor(sum(weight) * 10000 + 0.5) DESC, term) AS r FROM co JOIN tw USING (repo, path) GROUP BY repo, component, term QUALIFY r <= 5) GROUP BY repo, component)
       JOIN (SELECT repo, component, count(*) AS files FROM co GROUP BY repo, component) USING (repo, component)""",
     "comment_decisions": _with(_FILES, _RULES, _LINES) + f"""SELECT 'comment-' || rule_no || '-' || line AS id, rule_no, sl.repo, sl.path, line::INT AS line, substr(regexp_replace(text, '(?i)^[/#\\s]*(Decision|Why|ADR|Note):\\s*', ''), 1, 80) AS title
