@@ -84,6 +84,23 @@ def file_nodes(edges: DataFrame, files: DataFrame) -> DataFrame:
     return nodes.select("repo", "path", i.alias("in_degree"), o.alias("out_degree"), (i + o).alias("degree"), (i * o * F.lit(1.0) / F.greatest(F.coalesce("edges", zero), F.lit(1))).alias("betweenness"))
 
 
+def resolved_edges(imports: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
+    """(repo, source, target): import edges by ``resolved_path``, and where that is null by the resolver.
+
+    Relative imports are tried with all endings, aliased ones by the script
+    configuration files among ``contents``, Go packages by its ``go.mod`` files.
+    """
+    known = import_edges(imports, files)
+    open_ = imports.filter("resolved_path is null and source is not null")
+    tried = resolve_imports(aliased_imports(open_, script_aliases(contents)).select("import_id", "repo", "path", "source"), files)
+    # an aliased import is resolved from the root; its own file is the one it stands in
+    own = open_.select("import_id", F.col("path").alias("own"))
+    packages = resolve_packages(open_.select("import_id", "repo", "path", "source"), files, go_modules(contents)).select("import_id", "repo", "target")
+    found = tried.select("import_id", "repo", "target").unionByName(packages).join(own, "import_id").select("repo", F.col("own").alias("source"), "target").filter("source <> target")
+    inside = found.join(files.select("repo", F.col("path").alias("source")), ["repo", "source"], "left_semi")
+    return known.unionByName(inside).distinct()
+
+
 def hub_files(nodes: DataFrame, least: int = 8) -> DataFrame:
     """The nodes of at least ``least`` edges."""
     return nodes.filter(F.col("degree") >= least)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import paths
 from corpusloom.operators import extract
@@ -170,3 +171,35 @@ def shared_cluster_imports(clusters: DataFrame, imports: DataFrame, least_files:
     size = clusters.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= least_files)
     used = clusters.join(imports.filter("source is not null").select("repo", "path", "source").distinct(), ["repo", "path"]).groupBy("repo", "component", "source").agg(F.count(F.lit(1)).alias("files"))
     return used.join(size, ["repo", "component"]).filter(F.col("files") >= F.col("members") * share).select("repo", "component", "source", "files")
+
+
+def structural_clusters(clusters: DataFrame, imports: DataFrame, cohesion: DataFrame, files: DataFrame, least_files: int = 4, share: float = 0.5, top: int = 3) -> DataFrame:
+    """(repo, component, members, shared, cohesion, prevalence): clusters of similar files that count as a pattern.
+
+    A cluster of ``least_files`` members counts if ``share`` of them have an
+    import in common or if its cohesion is at least ``share``. ``shared`` has the
+    first ``top`` such imports by name; ``prevalence`` is the cluster's share of
+    the repository's files, to two digits.
+    """
+    order = Window.partitionBy("repo", "component").orderBy("source")
+    common = shared_cluster_imports(clusters, imports, least_files, share)
+    few = common.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).groupBy("repo", "component").agg(F.array_sort(F.collect_list("source")).alias("shared"))
+    size = clusters.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") >= least_files)
+    whole = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    rows = size.join(few, ["repo", "component"], "left").join(cohesion.select("repo", "component", "cohesion"), ["repo", "component"], "left").join(whole, "repo")
+    rows = rows.filter(F.col("shared").isNotNull() | (F.col("cohesion") >= share))
+    return rows.select("repo", "component", "members", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"), "cohesion", (F.floor(F.col("members") * 100 / F.col("n") + 0.5) / 100).alias("prevalence"))
+
+
+def naming_examples(symbols: DataFrame, top: int = 3) -> DataFrame:
+    """(repo, style, follows, rank, path, line, name): the first names that follow each naming style and the first that do not, by path, line and name."""
+    name = F.col("name")
+    styles = [
+        ("functions-camelcase", F.col("type") == "function", name.rlike("^[a-z][a-zA-Z0-9]*$")),
+        ("functions-snake-case", F.col("type") == "function", name.rlike("^[a-z][a-z0-9_]*$") & name.contains("_")),
+        ("classes-pascalcase", F.col("type").isin("class", "interface"), name.rlike("^[A-Z][a-zA-Z0-9]*$")),
+    ]
+    cases = F.array(*[F.when(of, F.struct(F.lit(style).alias("style"), fits.alias("follows"))) for style, of, fits in styles])
+    rows = symbols.select("repo", "path", F.col("line").cast("int").alias("line"), "name", F.explode(F.filter(cases, lambda c: c.isNotNull())).alias("c")).select("repo", "c.*", "path", "line", "name").distinct()
+    order = Window.partitionBy("repo", "style", "follows").orderBy("path", F.asc_nulls_last("line"), "name")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -68,3 +68,9 @@ def summary(found: DataFrame, changed: DataFrame) -> DataFrame:
 def similar_suggestions(similar: DataFrame, least: float = 0.3) -> DataFrame:
     """(repo, path, like, cosine): for each new file the most similar one, if it is similar enough; takes ``similar_files`` of the new files."""
     return similar.filter((F.col("rank") == 1) & (F.col("cosine") >= least)).select("repo", F.col("query").alias("path"), F.col("path").alias("like"), "cosine")
+
+
+def model_files(fresh: DataFrame, nodes: DataFrame, layers: DataFrame, below: int = 6) -> DataFrame:
+    """(repo, source, target, look_at): for each new edge that crosses a boundary or closes a cycle, a service of few edges that shows how it is done, by path."""
+    services = nodes.filter((F.col("degree") > 0) & (F.col("degree") < below)).join(layers.filter("layer = 'service'").select("repo", "path"), ["repo", "path"], "left_semi")
+    return fresh.filter("crosses_boundary or creates_cycle").join(services.groupBy("repo").agg(F.min("path").alias("look_at")), "repo").select("repo", "source", "target", "look_at")

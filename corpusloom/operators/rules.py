@@ -97,3 +97,11 @@ def markdown(rules: DataFrame, evidence: int = 3) -> DataFrame:
     rows = distinct_rules(rules).select("repo", F.coalesce("category", F.lit("patterns")).alias("category"), F.struct((-F.coalesce("priority", F.lit(0))).alias("p"), "rule_no", entry.alias("entry")).alias("e"))
     sections = rows.groupBy("repo", "category").agg(F.concat(F.lit("## "), F.first("category"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), "")).alias("section"))
     return sections.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "section"))), lambda s: s["section"]), "\n\n").alias("document"))
+
+
+def rule_details(rules: DataFrame, results: DataFrame, top: int = 3) -> DataFrame:
+    """(rule_no, repo, id, status, score, description, evidence): each rule with how it stands and its first evidence as ``file:line``."""
+    place = lambda e: F.concat(e["file"], F.coalesce(F.concat(F.lit(":"), e["line"].cast("string")), F.lit("")))
+    shown = F.filter(F.transform(F.slice(F.coalesce("evidence", F.array().cast(rules.schema["evidence"].dataType)), 1, top), place), lambda x: x.isNotNull())
+    rows = distinct_rules(rules).select("rule_no", description(F.col("enhanced"), F.col("description")).alias("description"), shown.alias("evidence"))
+    return results.join(rows, "rule_no").select("rule_no", "repo", "id", "status", "score", "description", "evidence")

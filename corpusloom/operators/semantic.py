@@ -18,12 +18,19 @@ from corpusloom.session import durable
 VOCABULARY = 5000
 
 
-def file_tokens(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(repo, path, term, tf): the words of each file's path, symbols with their parents, import sources and imported names."""
+def file_tokens(files: DataFrame, symbols: DataFrame, imports: DataFrame, exports: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
+    """(repo, path, term, tf): the words of each file's path, symbols with their parents, import sources and imported names.
+
+    Where they are given, also of its exports (repo, path, name) and marker comments (repo, path, text).
+    """
     named = symbols.select("repo", "path", F.explode(F.array("name", F.coalesce("parent_symbol", F.lit("")))).alias("name"))
     sources = imports.select("repo", "path", F.col("source").alias("name"))
     members = imports.select("repo", "path", F.explode("symbols").alias("name"))
     names = files.select("repo", "path", F.col("path").alias("name")).unionByName(named).unionByName(sources).unionByName(members)
+    if exports is not None:
+        names = names.unionByName(exports.select("repo", "path", "name"))
+    if comments is not None:
+        names = names.unionByName(comments.select("repo", "path", F.col("text").alias("name")))
     words = names.filter("name is not null").select("repo", "path", F.explode(split_identifier(F.col("name"))).alias("term"))
     return words.groupBy("repo", "path", "term").agg(F.count(F.lit(1)).alias("tf")).join(files.select("repo", "path"), ["repo", "path"], "left_semi")
 

@@ -340,7 +340,7 @@ def cluster_cohesion(c: Corpus) -> DataFrame:
 
 @query
 def cluster_imports(c: Corpus) -> DataFrame:
-    """Imports shared by half of the members of each directory of at least four files."""
+    """Imports shared by a fifth of the members of each directory of at least four files."""
     from corpusloom.functions.paths import dirname
 
     groups = c.files().select("repo", "path", dirname(F.col("path")).alias("component"))
@@ -545,6 +545,83 @@ def snapshot_retention(c: Corpus) -> DataFrame:
     return metrics.retained(c.raw("events"), "user_id", "ts", "event_id").select("event_id", "user_id", "ts")
 
 
+@query
+def import_names(c: Corpus) -> DataFrame:
+    """Imports of source lines with the names that they bring in."""
+    return extract.import_names(c.files("content")).select("file_id", "line", "source", "names", "is_default", "is_namespace")
+
+
+@query
+def exported_names(c: Corpus) -> DataFrame:
+    """What each file exports, in any language."""
+    return extract.exported_names(c.files("content")).select("file_id", "line", "type", "name")
+
+
+@query
+def full_terms(c: Corpus) -> DataFrame:
+    """Words of each live file's identifiers, exports and marker comments."""
+    files = c.files("content")
+    names = durable(extract.exported_names(files).select("repo", "path", "name"))
+    return semantic.file_tokens(c.files(), c.symbols(), c.imports(), names, extract.marker_comments(files))
+
+
+@query
+def resolved_edges(c: Corpus) -> DataFrame:
+    """Import edges, those without a resolved path by the resolver."""
+    return graph.resolved_edges(c.imports(), c.files(), c.files("content"))
+
+
+@query
+def same_terms(c: Corpus) -> DataFrame:
+    """The file that stands for each in the pairs: the first with the same weights."""
+    return semantic.same_terms(c.weights())
+
+
+@query
+def structural_clusters(c: Corpus) -> DataFrame:
+    """Parts of similar files that share an import or hold together."""
+    weights = durable(c.weights())
+    parts = durable(semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3))
+    return mining.structural_clusters(parts, c.imports(), semantic.cohesion(parts, weights), c.files())
+
+
+@query
+def naming_examples(c: Corpus) -> DataFrame:
+    """Names that follow a naming style, and names that do not."""
+    return mining.naming_examples(c.symbols())
+
+
+@query
+def hub_rules(c: Corpus) -> DataFrame:
+    """The three files of most edges of each repository, of at least eight."""
+    return graph.top_nodes(graph.hub_files(c.nodes()), 3).select("repo", "rank", "path", "degree")
+
+
+@query
+def hotspot_rules(c: Corpus) -> DataFrame:
+    """The three functions of most callers of each repository, of at least three."""
+    return calls.top_callees(calls.hotspots(c.metrics(), 3), 3)
+
+
+@query
+def rule_details(c: Corpus) -> DataFrame:
+    """Each rule with its status, score and first evidence."""
+    return rules.rule_details(c.raw("rules"), c.results())
+
+
+@query
+def rules_to_mend(c: Corpus) -> DataFrame:
+    """Rules that are not valid."""
+    return c.results().filter("status <> 'valid'")
+
+
+@query
+def model_files(c: Corpus) -> DataFrame:
+    """For each new edge that breaks a boundary or closes a cycle, a file to look at."""
+    _, fresh, nodes = _change(c)
+    return review.model_files(fresh, nodes, c.layers())
+
+
 @query
 def metric_trend(c: Corpus) -> DataFrame:
     """Daily means of event values by type."""
@@ -554,5 +631,8 @@ def metric_trend(c: Corpus) -> DataFrame:
 
 
 from corpusloom.plans.oracle import SQL  # noqa: E402
+from corpusloom.plans.oracle_more import SQL as MORE  # noqa: E402
+
+SQL = {**SQL, **MORE}
 
 __all__ = ["QUERIES", "SQL"]
