@@ -425,7 +425,7 @@ def _python_lines(code: str) -> None:
 
 # Words that need a name before a delimiter or an assignment.
 _UNNAMED = {
-    "javascript": re.compile(r"(?<![\w.$#])(?:(?:const|let|var)[ \t]*(?:=(?!=)|;|,|\))|function[ \t]*\*?[ \t]*\{|(?:extends|import|new)[ \t]*[;=)])"),
+    "javascript": re.compile(r"(?<![\w.$#])(?:(?<!as )(?:const|let|var)[ \t]*(?:=(?!=)|;|,|\))|function[ \t]*\*?[ \t]*\{|(?:extends|import|new)[ \t]*[;=)])"),
     "go": re.compile(r"(?<![\w.])(?:func[ \t]*\{|(?:var|type|const)[ \t]*=|package[ \t]*(?:;|\n))"),
     "java": re.compile(r"(?<![\w.])(?:(?:class|interface|enum|extends|implements|package|import)[ \t]*[{;=(]|new[ \t]*[;)=])"),
     "rust": re.compile(r"(?<![\w.#])(?:fn[ \t]*\{|let[ \t]*[=;]|(?:struct|enum|trait|mod)[ \t]*[{;=(])"),

@@ -85,7 +85,7 @@ TRICKY_GOOD = [
     ("py", "match = 1\nmatch x:\n    case [1, *_]: pass\n    case _:\n        type2 = ...\ntry:\n    pass\nexcept* E as e:\n    raise X from None\nelse: pass\n"),
     ("jsx", "const a = (\n  <p className=\"b\">don't stop {x ? <b>it's</b> : null}<br/></p>\n);\nconst c = a < b && c > d;\n"),
     ("tsx", "const f = <T,>(x: T) => x;\nexport const A = () => <><i/>{list.map((x) => <li key={x}>{`}${x}`}</li>)}</>;\n"),
-    ("js", "f(function () {\n}\n)\n"),
+    ("js", "f(function () {\n}\n)\n"), ("ts", "const a = [{ b: 'c' as const, d: ['e'] as const }];\nconst { f } = g;\n"),
     ("java", "@A({B.class, C.class})\nclass D {\n    int[] x = {1, 2};\n    enum E { X, Y }\n    String[] f() { return new String[] { \"a\" }; }\n}\n"),
     ("yml", "a: some text\n  that goes on\nb:\n  - one item\n    over two lines\n  - c: d\n"),
 ]
