@@ -16,6 +16,8 @@ from corpusloom.functions import paths
 from corpusloom.session import durable
 
 
+#: Bytes of a file that a scan keeps at most.
+MOST_BYTES = 1 << 20
 #: Rows that are broadcast to be left out of a scan; more are joined.
 BROADCAST_ROWS = 1_000_000
 
@@ -96,7 +98,7 @@ def incremental_scan(files: DataFrame, since: str = "2026-01-01") -> DataFrame:
     return both.groupBy("repo").agg(F.count_if(same).alias("reuse"), F.count_if(~same).alias("parse"))
 
 
-def scannable_files(files: DataFrame, exclude: list[str], max_bytes: int = 1 << 20) -> DataFrame:
+def scannable_files(files: DataFrame, exclude: list[str], max_bytes: int = MOST_BYTES) -> DataFrame:
     """(file_id, path): live source files that a scan keeps: not excluded, in no hidden folder but three, not empty and not too large."""
     hidden = F.exists(F.filter(F.split("path", "/"), lambda s: s.startswith(".")), lambda s: ~s.isin(".github", ".cursor", ".vscode"))
     size = F.octet_length("content")

@@ -5,8 +5,9 @@ that key is alive at the reference's own time. The work is done in three steps:
 
 1. The parent keys fill a Bloom filter whose bits are split over 64-bit words,
    one word for each key (a blocked filter). The words are built with
-   ``bit_or`` under a shuffle on the word number and are broadcast: their number
-   is at most ``MAX_WORDS``, whatever the number of parents.
+   ``bit_or`` under a shuffle on the word number; their number follows that of the
+   parents, so that the filter is as sharp at any size. Up to ``MAX_WORDS`` they
+   are broadcast; a larger filter meets the references by word number instead.
 2. A reference whose bits are not all set is a definite orphan.
 3. Only the references that the filter lets through meet the parents' life
    spans in an exact join.
@@ -20,15 +21,15 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.paths import norm_path
 
-#: 2**20 words of 8 bytes: no broadcast is larger than about 32 MB as a hash table.
+#: Words that are broadcast at most: 2**20 words of 8 bytes are about 32 MB as a hash table.
 MAX_WORDS = 1 << 20
 #: Parent keys for each word; 4 bits of 64 are set for each key.
 KEYS_PER_WORD = 6
 
 
-def _word_count(parents: int, max_words: int) -> int:
+def _word_count(parents: int) -> int:
     words = 1
-    while words < max_words and words * KEYS_PER_WORD < parents:
+    while words * KEYS_PER_WORD < parents:
         words *= 2
     return words
 
@@ -101,8 +102,9 @@ def orphans(references: DataFrame, parents: DataFrame, max_words: int = MAX_WORD
     """
     references = references.filter(F.col("key").isNotNull())
     parents = parents.select("key", "born", "died").filter("key is not null")
-    words = _word_count(parents.select(F.approx_count_distinct("key")).first()[0], max_words)
-    bloom = F.broadcast(bloom_words(parents, "key", words))
+    words = _word_count(parents.select(F.approx_count_distinct("key")).first()[0])
+    bloom = bloom_words(parents, "key", words)
+    bloom = F.broadcast(bloom) if words <= max_words else bloom
     mask = _mask(F.col("key"))
     tested = (
         references.withColumn("_word", _word(F.xxhash64("key"), words))

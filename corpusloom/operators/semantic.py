@@ -70,17 +70,17 @@ def same_terms(weights: DataFrame) -> DataFrame:
 def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
     """(repo, a, b, cosine), a < b: pairs of files whose cosine is at least ``least``, between files that stand for all of the same terms.
 
-    A file is looked up only under the terms that it needs: those of smaller
-    weight are left off as long as all of them together cannot reach ``least``.
-    Two files that reach it share one of the terms that either of them keeps.
+    Terms have one order, the rare ones first, and a file is looked up only under
+    its first terms: the rest is left off as soon as all of it together cannot
+    reach ``least``. Of two files that reach it, whichever list ends first has all
+    that they share beyond it in the part left off; so they share a listed term.
     """
     kept = durable(weights.join(same_terms(weights).filter("path = same").select("repo", "path"), ["repo", "path"], "left_semi"))
-    # the weight of all lighter terms of the file: a partner whose shared terms all lie there stays below the limit
-    lighter = Window.partitionBy("repo", "path").orderBy(F.col("weight"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    needed = kept.withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(lighter))).filter(F.col("tail") >= least - 1e-9)
-    a = needed.select("repo", "term", F.col("path").alias("a"))
-    b = kept.select("repo", "term", F.col("path").alias("b"))
-    met = a.join(b, ["repo", "term"]).filter("a <> b").select("repo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    df = kept.groupBy("repo", "term").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("repo", "path").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    listed = kept.join(df.filter("df > 1"), ["repo", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
+    listed = durable(listed.filter((F.col("tail") >= least - 1e-9) & (F.col("df") > 1)).select("repo", "term", "path"))
+    met = listed.withColumnRenamed("path", "a").join(listed.withColumnRenamed("path", "b"), ["repo", "term"]).filter("a < b").select("repo", "a", "b").distinct()
     v = kept.groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
     both = met.join(v.select("repo", F.col("path").alias("a"), F.col("m").alias("x")), ["repo", "a"]).join(v.select("repo", F.col("path").alias("b"), F.col("m").alias("y")), ["repo", "b"])
     product = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("y", e["key"]), F.lit(0.0)))
@@ -147,11 +147,12 @@ def adaptive_clusters(pairs: DataFrame, same: DataFrame, files: DataFrame, least
     fewer than ``least_files`` files have no clusters.
     """
     grid = [x / 100 for x in range(30, 71, 5)]
-    parts = [clusters_at(pairs, same, t).withColumn("threshold", F.lit(t)) for t in grid]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    whole = durable(whole)
+    # one search for the parts at all limits: a repository at a limit is a graph of its own
+    at = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("cosine")))
+    copies = same.filter("path <> same").select("repo", F.col("path").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("cosine"))
+    each = pairs.select("repo", "a", "b", "cosine").unionByName(copies).select("repo", "a", "b", at.alias("threshold"))
+    graphs = each.select(F.struct("repo", "threshold").alias("repo"), "a", "b")
+    whole = durable(components(graphs).select("repo.repo", "repo.threshold", "path", "component"))
     count = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_files)
     size = whole.groupBy("repo", "threshold", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("repo", "threshold").agg(F.max("size").alias("largest"), F.sum("size").alias("clustered"))
     steps = count.select("repo", "n", F.explode(F.array(*map(F.lit, grid))).alias("threshold")).join(size, ["repo", "threshold"], "left").na.fill(0, ["largest", "clustered"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import calls, corpus, decisions, extract, graph, metrics, mining, overview, parse, references, review, rules, semantic, verification
+from corpusloom.plans import project
 from corpusloom.session import durable
 from corpusloom.sources import diffs
 from corpusloom.sources.tables import table
@@ -545,6 +546,12 @@ def snapshot_retention(c: Corpus) -> DataFrame:
     return metrics.retained(c.raw("events"), "user_id", "ts", "event_id").select("event_id", "user_id", "ts")
 
 
+@query
+def project_summary(c: Corpus) -> DataFrame:
+    """Files, symbols, imports, exports, edges, boundaries and patterns of each repository, read from its contents alone."""
+    return project.summary(project.analyze(c.files("content").select("repo", "path", "content"), EXCLUDE))
+
+
 @query
 def import_names(c: Corpus) -> DataFrame:
     """Imports of source lines with the names that they bring in."""
