@@ -37,8 +37,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Files that do not parse by repository and language."""
-    files = table(spark, folder, "files")
-    return syntax.invalid_rates(files, syntax.invalid_files(files))
+    return syntax.checked_rates(table(spark, folder, "files"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -654,18 +654,30 @@ def invalid_files(files: DataFrame) -> DataFrame:
     The extension of ``path`` decides on the language. Null and empty contents
     and other extensions are no case; repeated rows count once.
     """
+    return _checked(files, True).dropDuplicates(["file_id"])
+
+
+def checked_rates(files: DataFrame) -> DataFrame:
+    """(repo, language, files, invalid, rate) in one pass over the files with content, each once."""
+    checked = _checked(files, False).groupBy("file_id").agg(F.first("repo").alias("repo"), F.first("language").alias("language"), F.count("fault").alias("faults"))
+    counts = checked.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("faults") > 0).alias("invalid"))
+    return counts.withColumn("rate", F.col("invalid") / F.col("files"))
+
+
+def _checked(files: DataFrame, faulty: bool) -> DataFrame:
+    """(file_id, repo, path, language, fault, line) of every file with content, or only of those with a fault."""
     rows = files.select("file_id", "repo", "path", "content").filter("content is not null and content <> ''")
     rows = rows.select("file_id", "repo", "path", extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(*LANGUAGES))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ext, content = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            found = [(k, LANGUAGES[e], *f) for k, (e, t) in enumerate(zip(ext, content)) if (f := fault(t, e))]
+            found = [(k, LANGUAGES[e], *(f or (None, None))) for k, (e, t) in enumerate(zip(ext, content)) if (f := fault(t, e)) or not faulty]
             keep = pa.array([f[0] for f in found], pa.int64())
             own = [pa.array([f[k] for f in found], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(keep) for k in range(3)), *own], ["file_id", "repo", "path", "language", "fault", "line"])
 
-    return rows.mapInArrow(check, "file_id bigint, repo string, path string, language string, fault string, line int").dropDuplicates(["file_id"])
+    return rows.mapInArrow(check, "file_id bigint, repo string, path string, language string, fault string, line int")
 
 
 def invalid_rates(files: DataFrame, invalid: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def test_operator(spark):
     assert sorted(r.file_id for r in found.collect()) == [1, 3, 7, 9]
     rates = {(r.repo, r.language): (r.files, r.invalid) for r in syntax.invalid_rates(files, found).collect()}
     assert rates == {("r", "python"): (4, 3), (None, "json"): (1, 1)}
-    assert syntax.invalid_files(files.limit(0)).count() == 0
+    assert {(r.repo, r.language): (r.files, r.invalid) for r in syntax.checked_rates(files).collect()} == rates
+    assert syntax.invalid_files(files.limit(0)).count() == 0 and syntax.checked_rates(files.limit(0)).count() == 0
 
 
 #: Valid code that word neighbours alone would misjudge, and faults that they would miss.
