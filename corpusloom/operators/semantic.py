@@ -1,21 +1,25 @@
 """Term weights, cosine similarity and clusters of files, for each repository by itself.
 
 Weights are (1 + ln tf) * (1 + ln(N / df)), scaled to length one, over the terms
-of highest document frequency. Similar files are found without comparing all
-pairs: files with the same terms are one, and a pair whose cosine reaches the
-limit must share a term among those of each file that carry enough weight.
+of highest document frequency. Files with the same terms are one. Their cosines
+are products of blocks of files, so that what is moved grows with the files and
+the blocks of their repository, not with the pairs that share a term.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.identifiers import split_identifier
-from corpusloom.session import durable
+from corpusloom.session import durable, release
 
 VOCABULARY = 5000
+#: Files of a block whose cosines with another block are one product.
+BLOCK_FILES = 2048
 
 
 def file_tokens(files: DataFrame, symbols: DataFrame, imports: DataFrame, exports: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
@@ -31,8 +35,10 @@ def file_tokens(files: DataFrame, symbols: DataFrame, imports: DataFrame, export
         names = names.unionByName(exports.select("repo", "path", "name"))
     if comments is not None:
         names = names.unionByName(comments.select("repo", "path", F.col("text").alias("name")))
-    words = names.filter("name is not null").select("repo", "path", F.explode(split_identifier(F.col("name"))).alias("term"))
-    return words.groupBy("repo", "path", "term").agg(F.count(F.lit(1)).alias("tf")).join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+    # brought to the live files before they are split, so that the counts need no shuffle of their own
+    live = names.filter("name is not null").join(files.select("repo", "path"), ["repo", "path"], "left_semi")
+    words = live.select("repo", "path", F.explode(split_identifier(F.col("name"))).alias("term"))
+    return words.groupBy("repo", "path", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -55,36 +61,85 @@ def tfidf(tokens: DataFrame, files: DataFrame, size: int = VOCABULARY) -> DataFr
 
 
 def _vectors(weights: DataFrame) -> DataFrame:
-    """(repo, path, v): terms by falling weight as an array."""
-    return weights.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("far"), "term"))).alias("v"))
+    """(repo, path, v, k): terms with their weights as an array, and a hash that files of the same weights, rounded to 4 digits, share."""
+    rows = weights.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
+    rounded = F.array_sort(F.transform("v", lambda e: F.struct((-F.floor(e["weight"] * 10000 + 0.5)).alias("far"), e["term"].alias("term"))))
+    return rows.withColumn("k", F.xxhash64(rounded))
+
+
+def _first(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("repo", "k").agg(F.min("path").alias("same"))
 
 
 def same_terms(weights: DataFrame) -> DataFrame:
     """(repo, path, same): ``same`` is the smallest path of the repository with the same weights, rounded to 4 digits."""
-    rows = _vectors(weights.withColumn("weight", F.floor(F.col("weight") * 10000 + 0.5)))
-    keyed = rows.select("repo", "path", F.xxhash64("v").alias("k"))
-    first = keyed.groupBy("repo", "k").agg(F.min("path").alias("same"))
-    return keyed.join(first, ["repo", "k"]).select("repo", "path", "same")
+    keyed = _vectors(weights).select("repo", "path", "k")
+    return keyed.join(_first(keyed), ["repo", "k"]).select("repo", "path", "same")
 
 
-def similar_pairs(weights: DataFrame, least: float) -> DataFrame:
+def similar_pairs(weights: DataFrame, least: float, block_files: int = BLOCK_FILES) -> DataFrame:
     """(repo, a, b, cosine), a < b: pairs of files whose cosine is at least ``least``, between files that stand for all of the same terms.
 
-    Terms have one order, the rare ones first, and a file is looked up only under
-    its first terms: the rest is left off as soon as all of it together cannot
-    reach ``least``. Of two files that reach it, whichever list ends first has all
-    that they share beyond it in the part left off; so they share a listed term.
+    The vocabulary of a repository is limited, so that most of its files share
+    some term: pairs that do are nearly all pairs. The files of a repository are
+    dealt to blocks, every block meets every block, and their cosines are one
+    product of matrices. Single precision tells which can reach ``least``; these
+    are summed again in double precision.
     """
-    kept = durable(weights.join(same_terms(weights).filter("path = same").select("repo", "path"), ["repo", "path"], "left_semi"))
-    df = kept.groupBy("repo", "term").agg(F.count(F.lit(1)).alias("df"))
-    rest = Window.partitionBy("repo", "path").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    listed = kept.join(df.filter("df > 1"), ["repo", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("tail", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest)))
-    listed = durable(listed.filter((F.col("tail") >= least - 1e-9) & (F.col("df") > 1)).select("repo", "term", "path"))
-    met = listed.withColumnRenamed("path", "a").join(listed.withColumnRenamed("path", "b"), ["repo", "term"]).filter("a < b").select("repo", "a", "b").distinct()
-    v = kept.groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
-    both = met.join(v.select("repo", F.col("path").alias("a"), F.col("m").alias("x")), ["repo", "a"]).join(v.select("repo", F.col("path").alias("b"), F.col("m").alias("y")), ["repo", "b"])
-    product = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.element_at("y", e["key"]), F.lit(0.0)))
-    return both.select("repo", "a", "b", product.alias("cosine")).filter(F.col("cosine") >= least)
+    vectors = durable(_vectors(weights))
+    kept = vectors.join(_first(vectors).withColumnRenamed("same", "path"), ["repo", "k", "path"], "left_semi")
+    blocks = vectors.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / block_files).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")
+    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), own.alias("block")))
+    terms, values = F.transform("v", lambda e: F.xxhash64(e["term"])).alias("terms"), F.transform("v", lambda e: e["weight"]).alias("values")
+    met = kept.join(blocks, "repo").select("repo", "path", terms, values, F.explode(turns).alias("t")).select("repo", "t.*", "path", "terms", "values")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("path").combine_chunks()
+        lists = group["terms"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        weights = group["values"].combine_chunks()
+        weights = (pa.concat_arrays(weights.chunks) if isinstance(weights, pa.ChunkedArray) else weights).flatten().to_numpy()
+        block, bounds = group["block"].to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        row = np.repeat(np.arange(len(block)), np.diff(bounds))
+        known, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        left, right = block == i, block == j
+        # only terms on both sides count
+        both = np.zeros((2, len(known)), dtype=bool)
+        both[0, place[left[row]]] = True
+        both[1, place[right[row]]] = True
+        column = np.where(both.all(axis=0), np.cumsum(both.all(axis=0)) - 1, -1)[place]
+        inside = column >= 0
+        held = np.zeros((len(block), int(both.all(axis=0).sum())), dtype=np.float32)
+        held[row[inside], column[inside]] = weights[inside]
+        xs, ys = np.flatnonzero(left), np.flatnonzero(right)
+        others = held if len(ys) == len(block) else held[ys]
+        one = np.zeros(len(known))  # the weights of one file by term
+        first, second, cosines = [], [], []
+        for start in range(0, len(xs), 256):
+            near = held[xs[start : start + 256]] @ others.T >= least - 1e-4
+            for x, hits in zip(xs[start : start + 256], near):
+                ends = ys[hits]
+                # a pair within a block is met from both sides
+                ends = ends[ends > x] if i == j else ends
+                if not len(ends):
+                    continue
+                mine = slice(bounds[x], bounds[x + 1])
+                one[place[mine]] = weights[mine]
+                size = bounds[ends + 1] - bounds[ends]
+                at = np.arange(size.sum()) + np.repeat(bounds[ends] - np.cumsum(size) + size, size)
+                cosine = np.add.reduceat(one[place[at]] * weights[at], np.cumsum(size) - size)
+                one[place[mine]] = 0
+                ends, cosine = ends[cosine >= least], cosine[cosine >= least]
+                first.append(np.minimum(x, ends))
+                second.append(np.maximum(x, ends))
+                cosines.append(cosine)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+        a, b = (group["path"].take(pa.array(join(p, np.int64))) for p in (first, second))
+        return pa.table({"repo": group["repo"].take(pa.array(np.zeros(len(a), dtype=np.int64))), "a": a, "b": b, "cosine": join(cosines, np.float64)})
+
+    return met.groupBy("repo", "i", "j").applyInArrow(compare, "repo string, a string, b string, cosine double")
 
 
 def similar_files(weights: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
@@ -127,8 +182,10 @@ def components(pairs: DataFrame) -> DataFrame:
         jump = spread.select("repo", F.col("path").alias("component"), F.col("component").alias("far"))
         after = durable(spread.join(jump, ["repo", "component"], "left").select("repo", "path", F.coalesce("far", "component").alias("component")))
         rest = after.join(labels.withColumnRenamed("component", "old"), ["repo", "path"]).filter("component <> old").isEmpty()
+        release(labels)
         labels = after
         if rest:
+            release(both)
             return labels
 
 

@@ -61,7 +61,7 @@ class Corpus:
         return semantic.file_tokens(self.files(), self.symbols(), self.imports())
 
     def weights(self) -> DataFrame:
-        return semantic.tfidf(self.tokens(), self.files())
+        return semantic.tfidf(durable(self.tokens()), self.files())
 
     def scores(self) -> DataFrame:
         return verification.claim_scores(verification.claims(self.raw("rules")), self.files("content"), self.symbols(), self.imports())

@@ -128,3 +128,28 @@ def test_modules_and_aliases(spark):
     assert sorted((r.import_id, r.target) for r in graph.resolve_packages(imports, known, modules).collect()) == [(1, "backend/internal/svc/a.go"), (1, "backend/internal/svc/b.go")]
     got = {r.import_id: r.target for r in graph.resolve_imports(graph.aliased_imports(imports, aliases), known).collect()}
     assert got == {3: "web/src/ui/Button.tsx"}
+
+
+def test_pairs_over_blocks_are_all_pairs_and_move_no_candidates(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {f"{r}/{n}.ts": (r, rng.sample([f"w{k}" for k in range(60)], rng.randint(1, 12))) for r, size in (("p", 150), ("q", 5)) for n in range(size)}
+    tokens = spark.createDataFrame([(r, p, t, rng.randint(1, 3)) for p, (r, ts) in words.items() for t in ts], "repo string, path string, term string, tf long")
+    known = spark.createDataFrame([(r, p) for p, (r, _) in words.items()], "repo string, path string")
+    weights = semantic.durable(semantic.tfidf(tokens, known))
+    same = {r.path for r in semantic.same_terms(weights).collect() if r.path == r.same}
+    vectors = {}
+    for r in weights.collect():
+        vectors.setdefault((r.repo, r.path), {})[r.term] = r.weight
+    ids = sorted(k for k in vectors if k[1] in same)
+    cosine = {(x[0], x[1], y[1]): sum(w * vectors[y].get(t, 0.0) for t, w in vectors[x].items()) for x in ids for y in ids if x[0] == y[0] and x[1] < y[1]}
+    want = {k: c for k, c in cosine.items() if c >= 0.3}
+    for block_files in (2048, 40, 2):
+        rows = semantic.similar_pairs(weights, 0.3, block_files=block_files).collect()
+        got = {(r.repo, r.a, r.b): r.cosine for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(c - want[k]) < 1e-12 for k, c in got.items())
+    assert semantic.similar_pairs(weights.limit(0), 0.3).count() == 0
+    # a pair is moved in blocks only; no join meets the files under their terms
+    plan = semantic.similar_pairs(weights, 0.3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Inner, (((" not in plan and plan.count("Join") == 2
