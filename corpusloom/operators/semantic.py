@@ -56,8 +56,9 @@ def tfidf(tokens: DataFrame, files: DataFrame, size: int = VOCABULARY) -> DataFr
     """(repo, path, term, weight) of length one for each file; files without terms count in N and have no rows."""
     count = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
     raw = tokens.join(vocabulary(tokens, size), ["repo", "term"]).join(count, "repo").withColumn("w", (1 + F.log("tf")) * (1 + F.log(F.col("n") / F.col("df"))))
-    norm = raw.groupBy("repo", "path").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["repo", "path"]).select("repo", "path", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a window moves the weights once, a join with their sums would make and move them twice
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("repo", "path")))
+    return raw.select("repo", "path", "term", (F.col("w") / norm).alias("weight"))
 
 
 def _vectors(weights: DataFrame) -> DataFrame:
