@@ -8,7 +8,7 @@ removed; of several live files of one path, the latest scan stands.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,14 +53,30 @@ def _is_stored(rows: DataFrame) -> bool:
     return True
 
 
+def symbol_rows(symbols: DataFrame) -> DataFrame:
+    """Live symbols with normalised paths, repeated rows included."""
+    return symbols.filter("removed_at is null and name is not null").withColumn("path", paths.norm_path(F.col("path")))
+
+
 def live_symbols(symbols: DataFrame) -> DataFrame:
     """Live symbols, each once, with normalised paths."""
-    return symbols.filter("removed_at is null and name is not null").withColumn("path", paths.norm_path(F.col("path"))).distinct()
+    return symbol_rows(symbols).distinct()
+
+
+def import_rows(imports: DataFrame) -> DataFrame:
+    """Imports with normalised paths, repeated rows included."""
+    return imports.withColumn("path", paths.norm_path(F.col("path"))).withColumn("resolved_path", paths.norm_path(F.col("resolved_path")))
 
 
 def live_imports(imports: DataFrame) -> DataFrame:
     """Imports, each once, with normalised paths."""
-    return imports.withColumn("path", paths.norm_path(F.col("path"))).withColumn("resolved_path", paths.norm_path(F.col("resolved_path"))).distinct()
+    return import_rows(imports).distinct()
+
+
+def row_key(rows: DataFrame) -> Column:
+    """A 64-bit hash of all columns, by which repeated rows are told without moving them whole; nulls count, also those in arrays."""
+    arrays = [F.to_json(c) for c, kind in rows.dtypes if kind.startswith("array")]
+    return F.xxhash64(*rows.columns, *[F.col(c).isNull() for c in rows.columns], *arrays)
 
 
 def language_breakdown(files: DataFrame) -> DataFrame:

@@ -10,16 +10,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.identifiers import split_identifier
+from corpusloom.operators.corpus import row_key
 from corpusloom.session import durable, release
 
 VOCABULARY = 5000
 #: Files of a block whose cosines with another block are one product.
 BLOCK_FILES = 2048
+#: Blocks by as many blocks whose links are thinned out as one.
+FOREST_BLOCKS = 16
+#: Cosine limits among which each repository gets the one that suits it.
+LIMITS = [x / 100 for x in range(30, 71, 5)]
+#: Repositories whose counts are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def file_tokens(files: DataFrame, symbols: DataFrame, imports: DataFrame, exports: DataFrame | None = None, comments: DataFrame | None = None) -> DataFrame:
@@ -61,11 +69,72 @@ def tfidf(tokens: DataFrame, files: DataFrame, size: int = VOCABULARY) -> DataFr
     return raw.select("repo", "path", "term", (F.col("w") / norm).alias("weight"))
 
 
+def file_terms(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo, path, v): the words of each file that ``file_tokens`` counts, as one array of (term, tf).
+
+    ``symbols`` and ``imports`` may repeat rows. Only the names move, with a hash of
+    their row, and once: what tells repeated rows, live files and words apart comes
+    after, by file.
+    """
+    rows = files.select("repo", "path", F.array("path").alias("names"), F.lit(0).cast("long").alias("row"))
+    rows = rows.unionByName(symbols.select("repo", "path", F.array("name", "parent_symbol").alias("names"), row_key(symbols).alias("row")))
+    rows = rows.unionByName(imports.select("repo", "path", F.concat(F.array("source"), F.coalesce("symbols", F.array().cast("array<string>"))).alias("names"), row_key(imports).alias("row")))
+    once = rows.filter("repo is not null and path is not null").repartition("repo", "path").distinct()
+    live = once.join(files.select("repo", "path"), ["repo", "path"], "left_semi").select("repo", "path", F.explode("names").alias("name"))
+    words = live.filter("name is not null").select("repo", "path", F.explode(split_identifier(F.col("name"))).alias("term"))
+    counted = words.groupBy("repo", "path", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+
+
+def file_vectors(terms: DataFrame, files: DataFrame, size: int = VOCABULARY, block_files: int = BLOCK_FILES) -> tuple[DataFrame, DataFrame]:
+    """(repo, path, same, v), written: the weights of ``tfidf`` as one array of (term, weight) for each file and the file that stands for it, as in ``same_terms``; and (repo, files), how many have terms.
+
+    Takes ``file_terms``. The vocabulary of a repository comes to its files, block by
+    block, so that words are not moved on their own.
+    """
+    terms = durable(terms)
+    counts = durable(terms.groupBy("repo").agg(F.count(F.lit(1)).alias("files")))
+    listed = vocabulary(terms.select("repo", "path", F.explode("v.term").alias("term")), size).groupBy("repo").agg(F.collect_list(F.struct("term", "df")).alias("words"))
+    known = durable(listed.join(files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")), "repo"))
+    blocks = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    blocks = blocks.select("repo", F.ceil(F.col("files") / block_files).cast("int").alias("blocks"))
+    dealt = terms.join(blocks, "repo").select("repo", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int").alias("block"), "path", "v")
+    sent = known.join(blocks, "repo").select("repo", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "n", "words")
+
+    def weigh(group: pa.Table, repo: pa.Table) -> pa.Table:
+        def entries(column: pa.ChunkedArray) -> tuple:
+            lists = column.combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            flat = lists.flatten()
+            return flat.field(0), flat.field(1).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+        word, tf, lengths = entries(group["v"])
+        term, df, _ = entries(repo["words"])
+        at = pc.index_in(word, value_set=term)
+        held = at.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)[held]
+        w = (1 + np.log(tf[held])) * (1 + np.log(repo["n"][0].as_py() / df[at.drop_null().to_numpy()]))
+        w /= np.sqrt(np.bincount(row, w * w, len(lengths)))[row]
+        left = np.bincount(row, minlength=len(lengths))
+        v = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), type=pa.int32()), pa.StructArray.from_arrays([word.filter(pa.array(held)), pa.array(w)], ["term", "weight"]))
+        return pa.table({"repo": group["repo"], "path": group["path"], "v": v}).filter(pa.array(left > 0))
+
+    weighed = dealt.groupBy("repo", "block").cogroup(sent.groupBy("repo", "block")).applyInArrow(weigh, "repo string, path string, v array<struct<term string, weight double>>")
+    keyed = weighed.withColumn("k", _weights_key())
+    vectors = durable(keyed.withColumn("same", F.min("path").over(Window.partitionBy("repo", "k"))).select("repo", "path", "same", "v"))
+    release(terms, known)
+    return vectors, counts
+
+
+def _weights_key() -> Column:
+    """A hash that files of the same weights, rounded to 4 digits, share."""
+    return F.xxhash64(F.array_sort(F.transform("v", lambda e: F.struct((-F.floor(e["weight"] * 10000 + 0.5)).alias("far"), e["term"].alias("term")))))
+
+
 def _vectors(weights: DataFrame) -> DataFrame:
     """(repo, path, v, k): terms with their weights as an array, and a hash that files of the same weights, rounded to 4 digits, share."""
     rows = weights.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
-    rounded = F.array_sort(F.transform("v", lambda e: F.struct((-F.floor(e["weight"] * 10000 + 0.5)).alias("far"), e["term"].alias("term"))))
-    return rows.withColumn("k", F.xxhash64(rounded))
+    return rows.withColumn("k", _weights_key())
 
 
 def _first(vectors: DataFrame) -> DataFrame:
@@ -78,24 +147,18 @@ def same_terms(weights: DataFrame) -> DataFrame:
     return keyed.join(_first(keyed), ["repo", "k"]).select("repo", "path", "same")
 
 
-def similar_pairs(weights: DataFrame, least: float, block_files: int = BLOCK_FILES) -> DataFrame:
-    """(repo, a, b, cosine), a < b: pairs of files whose cosine is at least ``least``, between files that stand for all of the same terms.
-
-    The vocabulary of a repository is limited, so that most of its files share
-    some term: pairs that do are nearly all pairs. The files of a repository are
-    dealt to blocks, every block meets every block, and their cosines are one
-    product of matrices. Single precision tells which can reach ``least``; these
-    are summed again in double precision.
-    """
-    vectors = durable(_vectors(weights))
-    kept = vectors.join(_first(vectors).withColumnRenamed("same", "path"), ["repo", "k", "path"], "left_semi")
-    blocks = vectors.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / block_files).cast("int").alias("blocks"))
+def _meetings(kept: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(repo, i, j, block, path, terms, values): each file once for every pair of blocks of its repository that its own is one of."""
     own = F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int")
     turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), own.alias("block")))
     terms, values = F.transform("v", lambda e: F.xxhash64(e["term"])).alias("terms"), F.transform("v", lambda e: e["weight"]).alias("values")
-    met = kept.join(blocks, "repo").select("repo", "path", terms, values, F.explode(turns).alias("t")).select("repo", "t.*", "path", "terms", "values")
+    return kept.join(blocks, "repo").select("repo", "path", terms, values, F.explode(turns).alias("t")).select("repo", "t.*", "path", "terms", "values")
 
-    def compare(group: pa.Table) -> pa.Table:
+
+def _reader():
+    """A function that reads two blocks that meet; made here so that it is pickled by value."""
+
+    def read(group: pa.Table) -> tuple:
         group = group.sort_by("path").combine_chunks()
         lists = group["terms"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
@@ -115,15 +178,36 @@ def similar_pairs(weights: DataFrame, least: float, block_files: int = BLOCK_FIL
         held = np.zeros((len(block), int(both.all(axis=0).sum())), dtype=np.float32)
         held[row[inside], column[inside]] = weights[inside]
         xs, ys = np.flatnonzero(left), np.flatnonzero(right)
-        others = held if len(ys) == len(block) else held[ys]
-        one = np.zeros(len(known))  # the weights of one file by term
+        return group, i == j, xs, ys, held, place, weights, bounds, len(known)
+
+    return read
+
+
+def similar_pairs(weights: DataFrame, least: float, block_files: int = BLOCK_FILES) -> DataFrame:
+    """(repo, a, b, cosine), a < b: pairs of files whose cosine is at least ``least``, between files that stand for all of the same terms.
+
+    The vocabulary of a repository is limited, so that most of its files share
+    some term: pairs that do are nearly all pairs. The files of a repository are
+    dealt to blocks, every block meets every block, and their cosines are one
+    product of matrices. Single precision tells which can reach ``least``; these
+    are summed again in double precision.
+    """
+    vectors = durable(_vectors(weights))
+    kept = vectors.join(_first(vectors).withColumnRenamed("same", "path"), ["repo", "k", "path"], "left_semi")
+    met = _meetings(kept, vectors.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / block_files).cast("int").alias("blocks")))
+    read = _reader()
+
+    def compare(group: pa.Table) -> pa.Table:
+        group, within, xs, ys, held, place, weights, bounds, known = read(group)
+        others = held if within else held[ys]
+        one = np.zeros(known)  # the weights of one file by term
         first, second, cosines = [], [], []
         for start in range(0, len(xs), 256):
             near = held[xs[start : start + 256]] @ others.T >= least - 1e-4
             for x, hits in zip(xs[start : start + 256], near):
                 ends = ys[hits]
                 # a pair within a block is met from both sides
-                ends = ends[ends > x] if i == j else ends
+                ends = ends[ends > x] if within else ends
                 if not len(ends):
                     continue
                 mine = slice(bounds[x], bounds[x + 1])
@@ -143,6 +227,78 @@ def similar_pairs(weights: DataFrame, least: float, block_files: int = BLOCK_FIL
     return met.groupBy("repo", "i", "j").applyInArrow(compare, "repo string, a string, b string, cosine double")
 
 
+def similar_links(vectors: DataFrame, counts: DataFrame, limits: list[float], block_files: int = BLOCK_FILES) -> DataFrame:
+    """(repo, a, b, cosine): files joined so that each of ``limits`` has the connected parts that all similar pairs have; ``cosine`` is the highest limit that a link reaches.
+
+    Takes ``file_vectors`` with their counts. Pairs are the square of a part, links
+    are as many as its files: two blocks that meet give the links of a spanning
+    forest, the highest limit first, and so do the forests of ``FOREST_BLOCKS`` by
+    as many blocks.
+    """
+    falling = sorted(limits, reverse=True)
+    blocks = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    met = _meetings(vectors.filter("path = same"), blocks.select("repo", F.ceil(F.col("files") / block_files).cast("int").alias("blocks")))
+    read = _reader()
+
+    def join(group: pa.Table) -> pa.Table:
+        i, j, repo = (group[c][0] for c in ("i", "j", "repo"))
+        group, within, xs, ys, held, place, weights, bounds, known = read(group)
+        near = held[xs] @ (held if within else held[ys]).T
+        one = np.zeros(known)  # the weights of one file by term
+        part = np.arange(len(group))
+        first, second, reached = [], [], []
+        for limit in falling:
+            likely = near >= limit - 1e-4
+            for r in np.flatnonzero((likely & (part[xs][:, None] != part[ys])).any(axis=1)):
+                x = xs[r]
+                ends = np.flatnonzero(likely[r] & (part[ys] != part[x]))
+                close = near[r, ends] < limit + 1e-4
+                if close.any():  # summed again in double precision
+                    mine = slice(bounds[x], bounds[x + 1])
+                    one[place[mine]] = weights[mine]
+                    few = ys[ends[close]]
+                    size = bounds[few + 1] - bounds[few]
+                    at = np.arange(size.sum()) + np.repeat(bounds[few] - np.cumsum(size) + size, size)
+                    cosine = np.add.reduceat(one[place[at]] * weights[at], np.cumsum(size) - size)
+                    one[place[mine]] = 0
+                    fits = ~close
+                    fits[close] = cosine >= limit
+                    ends = ends[fits]
+                others, at = np.unique(part[ys[ends]], return_index=True)
+                if not len(others):
+                    continue
+                part[np.isin(part, others)] = part[x]
+                far = ys[ends[at]]
+                first.append(np.minimum(x, far))
+                second.append(np.maximum(x, far))
+                reached.append(np.full(len(far), limit))
+        a, b = (group["path"].take(pa.array(np.concatenate(p) if p else np.zeros(0, dtype=np.int64))) for p in (first, second))
+        n = len(a)
+        return pa.table({"repo": pa.repeat(repo, n), "i": pa.repeat(i, n), "j": pa.repeat(j, n), "a": a, "b": b, "cosine": np.concatenate(reached) if reached else np.zeros(0)})
+
+    def thin(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cosine", "descending"), ("a", "ascending"), ("b", "ascending")]).combine_chunks()
+        ends = pa.chunked_array([*group["a"].chunks, *group["b"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        above = list(range(int(ends.max()) + 1))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        kept = []
+        for k, (x, y) in enumerate(zip(ends[: len(group)].tolist(), ends[len(group) :].tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                above[y] = x
+                kept.append(k)
+        return group.select(["repo", "a", "b", "cosine"]).take(pa.array(kept, type=pa.int64()))
+
+    joined = met.groupBy("repo", "i", "j").applyInArrow(join, "repo string, i int, j int, a string, b string, cosine double")
+    wide = [F.floor(F.col(c) / FOREST_BLOCKS).cast("int").alias(c) for c in ("i", "j")]
+    return joined.select("repo", *wide, "a", "b", "cosine").groupBy("repo", "i", "j").applyInArrow(thin, "repo string, a string, b string, cosine double")
+
+
 def similar_files(weights: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """(repo, query, path, cosine, rank): the ``top`` files most similar to each query vector (repo, query, term, weight).
 
@@ -175,7 +331,9 @@ def components(pairs: DataFrame) -> DataFrame:
     Labels are spread and every label then jumps to its own label's label, so
     that a chain of n files takes about log n rounds.
     """
-    both = durable(pairs.select("repo", F.col("a").alias("path"), F.col("b").alias("other")).unionByName(pairs.select("repo", F.col("b").alias("path"), F.col("a").alias("other"))).distinct())
+    # one pass: the pairs may be dear to make
+    ends = F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other")), F.struct(F.col("b").alias("path"), F.col("a").alias("other")))
+    both = durable(pairs.select("repo", F.explode(ends).alias("e")).select("repo", "e.*").distinct())
     labels = durable(both.groupBy("repo", "path").agg(F.min(F.least("path", "other")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("path", "other"), ["repo", "other"]).select("repo", "path", "component")
@@ -191,7 +349,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def clusters_at(pairs: DataFrame, same: DataFrame, least: float) -> DataFrame:
-    """(repo, path, component): files in connected parts at a cosine limit, files of the same terms in one part; parts of one file are left out."""
+    """(repo, path, component): files in connected parts at a cosine limit, files of the same terms in one part; parts of one file are left out.
+
+    Takes all similar pairs or the links that stand for them.
+    """
     copies = same.filter("path <> same").select("repo", F.col("path").alias("a"), F.col("same").alias("b"))
     return components(pairs.filter(F.col("cosine") >= least).select("repo", "a", "b").unionByName(copies))
 
@@ -202,9 +363,10 @@ def adaptive_clusters(pairs: DataFrame, same: DataFrame, files: DataFrame, least
     The limit starts at .45 and rises by .05, to .70 at most, while the largest
     part holds more than 60 % of the files; it then falls, to .30 at least, while
     less than 10 % of the files are in a part of two or more. Repositories of
-    fewer than ``least_files`` files have no clusters.
+    fewer than ``least_files`` files have no clusters. Takes all similar pairs or
+    the links that stand for them at ``LIMITS``.
     """
-    grid = [x / 100 for x in range(30, 71, 5)]
+    grid = LIMITS
     # one search for the parts at all limits: a repository at a limit is a graph of its own
     at = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("cosine")))
     copies = same.filter("path <> same").select("repo", F.col("path").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("cosine"))
@@ -221,9 +383,17 @@ def adaptive_clusters(pairs: DataFrame, same: DataFrame, files: DataFrame, least
     return whole.join(table.select("repo", down.alias("threshold")), ["repo", "threshold"]).select("repo", "threshold", "path", "component")
 
 
+def _weights_of(clusters: DataFrame, weights: DataFrame) -> DataFrame:
+    """(repo, component, term, weight) of the members; the arrays of ``file_vectors`` come to their part before they are taken apart."""
+    held = clusters.join(weights, ["repo", "path"])
+    if "v" not in weights.columns:
+        return held
+    return held.select("repo", "component", "v").repartition("repo", "component").select("repo", "component", F.inline("v"))
+
+
 def cluster_terms(clusters: DataFrame, weights: DataFrame, top: int = 5) -> DataFrame:
-    """(repo, component, files, terms): the terms of highest summed weight of each part, ties by term."""
-    summed = clusters.join(weights, ["repo", "path"]).groupBy("repo", "component", "term").agg(F.sum("weight").alias("w"))
+    """(repo, component, files, terms): the terms of highest summed weight of each part, ties by term; takes weights or ``file_vectors``."""
+    summed = _weights_of(clusters, weights).groupBy("repo", "component", "term").agg(F.sum("weight").alias("w"))
     order = Window.partitionBy("repo", "component").orderBy((-F.floor(F.col("w") * 10000 + 0.5)), "term")
     best = summed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top).groupBy("repo", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
     return clusters.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("files")).join(best, ["repo", "component"])
@@ -233,9 +403,9 @@ def cohesion(clusters: DataFrame, weights: DataFrame) -> DataFrame:
     """(repo, component, files, cohesion): the mean cosine of all pairs of a part, to 3 digits.
 
     It needs no pairs: the squared length of the summed vector is the sum over all
-    ordered pairs and over the n files with themselves.
+    ordered pairs and over the n files with themselves. Takes weights or ``file_vectors``.
     """
-    v = clusters.join(weights, ["repo", "path"]).groupBy("repo", "component", "term").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    v = _weights_of(clusters, weights).groupBy("repo", "component", "term").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("weight")).alias("own"))
     whole = v.groupBy("repo", "component").agg((F.sum(F.col("w") * F.col("w")) - F.sum("own")).alias("s"))
     sizes = clusters.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("files"))
     mean = F.col("s") / (F.col("files") * (F.col("files") - 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import calls, corpus, decisions, extract, graph, metrics, mining, overview, parse, references, review, rules, semantic, verification
 from corpusloom.plans import project
-from corpusloom.session import durable
+from corpusloom.session import durable, release
 from corpusloom.sources import diffs
 from corpusloom.sources.tables import table
 
@@ -63,6 +63,18 @@ class Corpus:
     def weights(self) -> DataFrame:
         return semantic.tfidf(durable(self.tokens()), self.files())
 
+    def parts(self) -> tuple[DataFrame, DataFrame]:
+        """The vectors of the files, and their connected parts at a cosine of 0.3."""
+        vectors, links = self.links([0.3])
+        parts = semantic.clusters_at(links, vectors.select("repo", "path", "same"), 0.3)
+        release(links)
+        return vectors, parts
+
+    def links(self, limits: list[float]) -> tuple[DataFrame, DataFrame]:
+        terms = semantic.file_terms(self.files(), corpus.symbol_rows(self.raw("symbols")), corpus.import_rows(self.raw("imports")))
+        vectors, counts = semantic.file_vectors(terms, self.files())
+        return vectors, durable(semantic.similar_links(vectors, counts, limits))
+
     def scores(self) -> DataFrame:
         return verification.claim_scores(verification.claims(self.raw("rules")), self.files("content"), self.symbols(), self.imports())
 
@@ -312,8 +324,9 @@ def rule_similar_files(c: Corpus) -> DataFrame:
 @query
 def clusters_at_threshold(c: Corpus) -> DataFrame:
     """Connected parts of files at a cosine of 0.3."""
-    weights = durable(c.weights())
-    return semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3)
+    vectors, parts = c.parts()
+    release(vectors)
+    return parts
 
 
 @query

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import calls, graph, semantic
 
 E = "repo string, source string, target string"
@@ -153,3 +155,44 @@ def test_pairs_over_blocks_are_all_pairs_and_move_no_candidates(spark):
     # a pair is moved in blocks only; no join meets the files under their terms
     plan = semantic.similar_pairs(weights, 0.3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Inner, (((" not in plan and plan.count("Join") == 2
+
+
+def _random_terms(spark):
+    rng = random.Random(5)
+    sizes = (("p", 90, 60), ("dense", 40, 9), ("q", 5, 9))
+    words = {(r, f"{n:03}.ts"): rng.sample([f"w{k}" for k in range(many)], rng.randint(1, 8)) for r, size, many in sizes for n in range(size)}
+    tokens = spark.createDataFrame([(r, p, t, rng.randint(1, 3)) for (r, p), ts in words.items() for t in ts], "repo string, path string, term string, tf long")
+    return tokens, spark.createDataFrame(list(words), "repo string, path string")
+
+
+def test_links_have_the_parts_of_all_pairs_and_are_not_more_than_the_files(spark, monkeypatch):
+    tokens, known = _random_terms(spark)
+    weights = semantic.durable(semantic.tfidf(tokens, known))
+    same, pairs = semantic.same_terms(weights), semantic.durable(semantic.similar_pairs(weights, 0.3))
+    want = {t: sorted(semantic.clusters_at(pairs, same, t).collect()) for t in (0.3, 0.7)}
+    assert pairs.count() > 3 * known.count()
+    terms = tokens.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+    monkeypatch.setattr(semantic, "FOREST_BLOCKS", 2)
+    for block_files in (2048, 9):
+        vectors, counts = semantic.file_vectors(terms, known, block_files=block_files)
+        assert sorted(vectors.select("repo", "path", "same").collect()) == sorted(same.select("repo", "path", "same").collect())
+        got = {(r.repo, r.path, r.term): r.weight for r in vectors.select("repo", "path", F.inline("v")).collect()}
+        rows = weights.collect()
+        assert len(got) == len(rows) and all(abs(got[r.repo, r.path, r.term] - r.weight) < 1e-12 for r in rows)
+        copies = vectors.select("repo", "path", "same")
+        links = semantic.durable(semantic.similar_links(vectors, counts, semantic.LIMITS, block_files=block_files))
+        assert {t: sorted(semantic.clusters_at(links, copies, t).collect()) for t in want} == want
+        assert block_files < 2048 or links.count() < known.count()
+    empty, none = semantic.file_vectors(terms.limit(0), known)
+    assert empty.count() == 0 and semantic.similar_links(empty, none, [0.3]).count() == 0
+
+
+def test_terms_by_file_are_the_tokens_of_rows_told_apart(spark):
+    symbols = spark.createDataFrame([(1, "r", "a.ts", "userName", "Store", None, 5, ["x", None]), (1, "r", "a.ts", "userName", "Store", None, 5, ["x", None]), (1, "r", "a.ts", "userName", "Store", 5, None, ["x", None]), (1, "r", "a.ts", "userName", "Store", 5, None, [None, "x"]), (2, "r", "gone.ts", "lost", None, 1, 1, None), (3, "r", "b.ts", "lonely", None, 1, 1, [])], "symbol_id long, repo string, path string, name string, parent_symbol string, line int, end_line int, parameters array<string>")
+    imports = spark.createDataFrame([(1, "r", "a.ts", "react", ["useState", None]), (1, "r", "a.ts", "react", ["useState", None]), (2, "r", "a.ts", "react", None), (3, "r", "b.ts", None, ["thing"])], "import_id long, repo string, path string, source string, symbols array<string>")
+    known = spark.createDataFrame([("r", "a.ts"), ("r", "b.ts"), ("r", "pathWord.ts"), (None, "x.ts")], "repo string, path string")
+    want = sorted(semantic.file_tokens(known, symbols.distinct(), imports.distinct()).collect())
+    rows = semantic.file_terms(known, symbols, imports)
+    assert sorted(rows.select("repo", "path", F.inline("v")).collect()) == [tuple(r) for r in want] and any(r.term == "user" and r.tf == 3 for r in want)
+    # rows are moved once and narrow: the other exchanges are those of the live files
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
