@@ -24,6 +24,8 @@ VOCABULARY = 5000
 BLOCK_FILES = 2048
 #: Blocks by as many blocks whose links are thinned out as one.
 FOREST_BLOCKS = 16
+#: Pairs or links of a repository up to which its parts at all limits are found in one task.
+TASK_LINKS = 2_000_000
 #: Cosine limits among which each repository gets the one that suits it.
 LIMITS = [x / 100 for x in range(30, 71, 5)]
 #: Repositories whose counts are broadcast.
@@ -357,6 +359,42 @@ def clusters_at(pairs: DataFrame, same: DataFrame, least: float) -> DataFrame:
     return components(pairs.filter(F.col("cosine") >= least).select("repo", "a", "b").unionByName(copies))
 
 
+def _parts_at(pairs: DataFrame, limits: list[float]) -> DataFrame:
+    """(repo, threshold, path, component): the connected parts of (repo, a, b, cosine) at each limit, named by their smallest path; a repository is one task."""
+    falling = sorted(limits, reverse=True)
+
+    def grow(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cosine", "descending")]).combine_chunks()
+        coded = pa.chunked_array([*group["a"].chunks, *group["b"].chunks]).combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        paths, rank = coded.dictionary.take(order), np.argsort(order.to_numpy())
+        ends, cosine = rank[coded.indices.to_numpy()], group["cosine"].to_numpy()
+        above, inside, start = list(range(len(paths))), np.zeros(len(paths), dtype=bool), 0
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        at, found, parts = [], [], []
+        for limit in falling:
+            end = int((cosine >= limit).sum())
+            xs, ys = ends[start:end], ends[len(group) + start : len(group) + end]
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                x, y = top(x), top(y)
+                above[max(x, y)] = min(x, y)
+            inside[xs] = inside[ys] = True
+            start = end
+            held = np.flatnonzero(inside)
+            at.append(np.full(len(held), limit))
+            found.append(held)
+            parts.append(np.array([top(x) for x in held.tolist()], dtype=np.int64))
+        path, component = (paths.take(pa.array(np.concatenate(p))) for p in (found, parts))
+        return pa.table({"repo": pa.repeat(group["repo"][0], len(path)), "threshold": np.concatenate(at), "path": path, "component": component})
+
+    return pairs.groupBy("repo").applyInArrow(grow, "repo string, threshold double, path string, component string")
+
+
 def adaptive_clusters(pairs: DataFrame, same: DataFrame, files: DataFrame, least_files: int = 20) -> DataFrame:
     """(repo, threshold, path, component) at the cosine limit that suits each repository.
 
@@ -367,12 +405,15 @@ def adaptive_clusters(pairs: DataFrame, same: DataFrame, files: DataFrame, least
     the links that stand for them at ``LIMITS``.
     """
     grid = LIMITS
-    # one search for the parts at all limits: a repository at a limit is a graph of its own
-    at = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("cosine")))
     copies = same.filter("path <> same").select("repo", F.col("path").alias("a"), F.col("same").alias("b"), F.lit(1.0).alias("cosine"))
-    each = pairs.select("repo", "a", "b", "cosine").unionByName(copies).select("repo", "a", "b", at.alias("threshold"))
-    graphs = each.select(F.struct("repo", "threshold").alias("repo"), "a", "b")
-    whole = durable(components(graphs).select("repo.repo", "repo.threshold", "path", "component"))
+    each = pairs.select("repo", "a", "b", "cosine").unionByName(copies)
+    if (each.groupBy("repo").count().agg(F.max("count")).first()[0] or 0) <= TASK_LINKS:
+        whole = durable(_parts_at(each, grid))
+    else:
+        # one search for the parts at all limits: a repository at a limit is a graph of its own
+        at = F.explode(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("cosine")))
+        graphs = each.select("repo", "a", "b", at.alias("threshold")).select(F.struct("repo", "threshold").alias("repo"), "a", "b")
+        whole = durable(components(graphs).select("repo.repo", "repo.threshold", "path", "component"))
     count = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_files)
     size = whole.groupBy("repo", "threshold", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("repo", "threshold").agg(F.max("size").alias("largest"), F.sum("size").alias("clustered"))
     steps = count.select("repo", "n", F.explode(F.array(*map(F.lit, grid))).alias("threshold")).join(size, ["repo", "threshold"], "left").na.fill(0, ["largest", "clustered"])

@@ -332,8 +332,8 @@ def clusters_at_threshold(c: Corpus) -> DataFrame:
 @query
 def adaptive_clusters(c: Corpus) -> DataFrame:
     """Connected parts at the cosine limit that suits each repository."""
-    weights = durable(c.weights())
-    return semantic.adaptive_clusters(durable(semantic.similar_pairs(weights, 0.3)), semantic.same_terms(weights), c.files())
+    vectors, links = c.links(semantic.LIMITS)
+    return semantic.adaptive_clusters(links, vectors.select("repo", "path", "same"), c.files())
 
 
 @query

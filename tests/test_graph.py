@@ -196,3 +196,18 @@ def test_terms_by_file_are_the_tokens_of_rows_told_apart(spark):
     assert sorted(rows.select("repo", "path", F.inline("v")).collect()) == [tuple(r) for r in want] and any(r.term == "user" and r.tf == 3 for r in want)
     # rows are moved once and narrow: the other exchanges are those of the live files
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_adaptive_parts_of_links_are_those_of_all_pairs(spark, monkeypatch):
+    tokens, known = _random_terms(spark)
+    weights = semantic.durable(semantic.tfidf(tokens, known))
+    pairs, same = semantic.durable(semantic.similar_pairs(weights, 0.3)), semantic.durable(semantic.same_terms(weights))
+    terms = tokens.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+    vectors, counts = semantic.file_vectors(terms, known, block_files=20)
+    links = semantic.durable(semantic.similar_links(vectors, counts, semantic.LIMITS, block_files=20))
+    got = sorted(semantic.adaptive_clusters(links, same, known).collect())
+    # parts of a repository too large for one task are found over all of them
+    monkeypatch.setattr(semantic, "TASK_LINKS", 0)
+    want = sorted(semantic.adaptive_clusters(pairs, same, known).collect())
+    assert got == want and {r.repo for r in got} == {"p", "dense"}
+    assert semantic.adaptive_clusters(links.limit(0), same.limit(0), known).count() == 0
