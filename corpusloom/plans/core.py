@@ -339,9 +339,8 @@ def adaptive_clusters(c: Corpus) -> DataFrame:
 @query
 def cluster_terms(c: Corpus) -> DataFrame:
     """The leading terms of each part at a cosine of 0.3."""
-    weights = durable(c.weights())
-    parts = semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3)
-    return semantic.cluster_terms(parts, weights)
+    vectors, parts = c.parts()
+    return semantic.cluster_terms(parts, vectors)
 
 
 @query

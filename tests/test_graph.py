@@ -211,3 +211,17 @@ def test_adaptive_parts_of_links_are_those_of_all_pairs(spark, monkeypatch):
     want = sorted(semantic.adaptive_clusters(pairs, same, known).collect())
     assert got == want and {r.repo for r in got} == {"p", "dense"}
     assert semantic.adaptive_clusters(links.limit(0), same.limit(0), known).count() == 0
+
+
+def test_terms_and_cohesion_of_parts_from_arrays_move_no_words(spark):
+    tokens, known = _random_terms(spark)
+    weights = semantic.durable(semantic.tfidf(tokens, known))
+    terms = tokens.groupBy("repo", "path").agg(F.collect_list(F.struct("term", "tf")).alias("v"))
+    vectors, _ = semantic.file_vectors(terms, known)
+    clusters = semantic.durable(known.select("repo", "path", F.regexp_replace("path", "[0-9]\\.ts", "").alias("component")))
+    for summary in (semantic.cluster_terms, semantic.cohesion):
+        rows = summary(clusters, vectors)
+        assert sorted(rows.collect()) == sorted(summary(clusters, weights).collect()) and rows.count()
+    # members meet by file, then by part, and so do the sizes; nothing is moved by term
+    plan = semantic.cohesion(clusters, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(repo" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "term#" in x]
