@@ -346,9 +346,8 @@ def cluster_terms(c: Corpus) -> DataFrame:
 @query
 def cluster_cohesion(c: Corpus) -> DataFrame:
     """The mean cosine within each part at a cosine of 0.3."""
-    weights = durable(c.weights())
-    parts = semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3)
-    return semantic.cohesion(parts, weights)
+    vectors, parts = c.parts()
+    return semantic.cohesion(parts, vectors)
 
 
 @query
