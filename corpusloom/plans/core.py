@@ -598,9 +598,10 @@ def same_terms(c: Corpus) -> DataFrame:
 @query
 def structural_clusters(c: Corpus) -> DataFrame:
     """Parts of similar files that share an import or hold together."""
-    weights = durable(c.weights())
-    parts = durable(semantic.clusters_at(semantic.similar_pairs(weights, 0.3), semantic.same_terms(weights), 0.3))
-    return mining.structural_clusters(parts, c.imports(), semantic.cohesion(parts, weights), c.files())
+    vectors, parts = c.parts()
+    together = durable(semantic.cohesion(parts, vectors))
+    release(vectors)
+    return mining.structural_clusters(parts, corpus.import_rows(c.raw("imports")), together, c.files())
 
 
 @query

@@ -225,3 +225,21 @@ def test_terms_and_cohesion_of_parts_from_arrays_move_no_words(spark):
     # members meet by file, then by part, and so do the sizes; nothing is moved by term
     plan = semantic.cohesion(clusters, vectors)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(repo" in plan and not [x for x in plan.split("\n") if "Exchange" in x and "term#" in x]
+
+
+def test_structural_clusters_make_no_pairs_and_count_repeated_imports_once(spark, monkeypatch):
+    from corpusloom.plans import core
+
+    def refuse(*_):
+        raise AssertionError("all pairs of a part are its square")
+
+    monkeypatch.setattr(semantic, "similar_pairs", refuse)
+    monkeypatch.setattr(core.Corpus, "raw", lambda self, name: tables[name])
+    paths = [f"d{c}/same.ts" for c in "abcdef"]
+    tables = {
+        "files": spark.createDataFrame([(n, n, "r", p, None, None) for n, p in enumerate(paths)], "file_id long, ord long, repo string, path string, scanned_at timestamp, removed_at timestamp"),
+        "symbols": spark.createDataFrame([(n, "r", p, w, None, None) for n, p in enumerate(paths) for w in ("renderCanvasFrameBuffer", "shaderTextureMeshLight", f"pixel{'abcdef'[n] * 3}")], "symbol_id long, repo string, path string, name string, parent_symbol string, removed_at timestamp"),
+        "imports": spark.createDataFrame([(n, "r", p, "react" if n < 3 else "vue", ["x"], None) for n, p in enumerate(paths)] + [(5, "r", paths[5], "vue", ["x"], None)] * 3 + [(9, "r", paths[0], "rare", ["x"], None)] * 3, "import_id long, repo string, path string, source string, symbols array<string>, resolved_path string"),
+    }
+    (row,) = core.QUERIES["structural_clusters"](spark, "").collect()
+    assert (row.component, row.members, row.shared, row.prevalence) == (paths[0], 6, ["react", "vue"], 1.0)
